@@ -109,6 +109,11 @@ def clean_names(df: DataFrame) -> DataFrame:
     return _set_names(df, clean_headers(df.columns))
 
 
+def unique_names(df: DataFrame) -> DataFrame:
+    """Append the column position to blank and repeated column names."""
+    return _set_names(df, unique_by_position(df.columns))
+
+
 def repair_names(df: DataFrame, rules: Sequence[tuple[str, str]] = REGISTER_RULES) -> DataFrame:
     """Apply a rule chain to all column names."""
     return _set_names(df, apply_rules(df.columns, rules))

@@ -78,14 +78,19 @@ def _known(n: str = "n") -> Column:
 
 
 def _column_totals(counts: DataFrame) -> DataFrame:
-    """One row per column: size, mean, and the cut points for the value ranges."""
+    """One row per column: size, mean, and the cut points for the value ranges.
+
+    The filter is always true. It keeps the counts in every use of this table, so that all uses
+    share one shuffle of the value counts.
+    """
     cuts = [i / RANGES for i in range(1, RANGES)]
-    return counts.groupBy("variable").agg(
+    totals = counts.groupBy("variable").agg(
         F.sum("n").alias("rows"),
         F.sum(_known()).alias("known"),
         (F.sum(F.col("value") * F.col("n")) / F.sum(_known())).alias("mean"),
         F.percentile_approx("value", F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("cuts"),
     )
+    return totals.filter(F.col("rows") > 0)
 
 
 def running_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

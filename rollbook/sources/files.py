@@ -4,39 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rollbook.functions.values import run_date_label
 
 NA = "NA"
-_DIALECT = {"header": True, "nullValue": NA, "quote": '"', "escape": '"'}
+_DIALECT = {"header": True, "quote": '"', "escape": '"'}
 
 
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
     """CSV with a header; missing cells are the text NA. ``compress`` writes gzip parts."""
-    writer = df.write.mode("overwrite").options(**_DIALECT, emptyValue="")
+    writer = df.write.mode("overwrite").options(**_DIALECT, nullValue=NA)
     if compress:
         writer = writer.option("compression", "gzip")
     writer.csv(path)
 
 
+def _typed(field: StructField) -> Column:
+    cell = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, StringType):
+        return F.when(cell.isNull(), "").when(cell != NA, cell).alias(field.name)
+    return cell.try_cast(field.dataType).alias(field.name)
+
+
 def read_csv(
     spark: SparkSession,
-    path: str | Sequence[str],
-    schema: StructType | str | None = None,
+    path: str,
+    schema: StructType | None = None,
     line_breaks: bool = False,
 ) -> DataFrame:
-    """CSV with a header and NA for missing; blank text stays blank.
+    """CSV with a header and NA for missing. Blank text stays blank; blank numbers are NULL.
 
-    Types are inferred only when no schema is given, which costs a pass over the files. Cells with
-    line breaks need ``line_breaks=True``, which reads each file in one task.
+    The header must agree with a given schema. Types are inferred only when no schema is given,
+    which costs a pass over the files. Cells with line breaks need ``line_breaks=True``, which
+    reads each file in one task.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.options(**_DIALECT, emptyValue="", multiLine=line_breaks)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(paths)
+    reader = spark.read.options(**_DIALECT, multiLine=line_breaks)
+    if schema is None:
+        inferred = spark.read.options(**_DIALECT, multiLine=line_breaks, nullValue=NA)
+        schema = inferred.csv(path, inferSchema=True).schema
+    as_text = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    cells = reader.option("enforceSchema", False).schema(as_text).csv(path)
+    return cells.select(*[_typed(f) for f in schema.fields])
 
 
 def dated(df: DataFrame, run_date: str) -> DataFrame:
