@@ -12,6 +12,8 @@ from rollbook.functions.values import (
     if_na,
     is_positive,
     is_value,
+    number_column,
+    parse_numbers,
     run_date_label,
     text_date,
     to_number,
@@ -25,6 +27,8 @@ __all__ = [
     "if_na",
     "is_positive",
     "is_value",
+    "number_column",
+    "parse_numbers",
     "place_from_code",
     "recode",
     "run_date_label",

@@ -6,9 +6,13 @@ they are safe under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 EXCEL_EPOCH = "1899-12-30"
 EXCEL_LAST_SERIAL = 2_958_465  # 9999-12-31
 EXCEL_FALSE_LEAP_DAY = 60  # 1900-02-29, which did not exist
@@ -21,19 +25,28 @@ def if_na(condition: Column, yes: Column, no: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; NULL for anything that is not a plain number.
+    """Text to double; NULL for anything that is not a plain decimal number.
 
-    The JVM parser also takes ``NaN`` and type suffixes (``12d``, ``12f``); neither is a number in
-    a register, and NaN would compare as greater than every quantity.
+    The pattern goes first because the JVM parser also takes ``NaN`` and type suffixes (``12d``),
+    and because a failed parse costs more than a failed match.
     """
-    n = c.try_cast("double")
-    suffixed = c.cast("string").rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(n.isNotNull() & ~F.isnan(n) & ~suffixed, n)
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def number_column(df: DataFrame, name: str) -> Column:
+    """A column as a number: numeric columns as they are, others parsed."""
+    c = F.col(f"`{name}`")
+    return c if isinstance(df.schema[name].dataType, NumericType) else to_number(c)
+
+
+def parse_numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Parse the listed columns once, so that later expressions compare plain doubles."""
+    return df.withColumns({name: number_column(df, name) for name in names})
 
 
-def is_positive(c: Column) -> Column:
+def is_positive(df: DataFrame, name: str) -> Column:
     """Quantity above zero, compared as a number and never as text; NULL where not a number."""
-    return to_number(c) > 0
+    return number_column(df, name) > 0
 
 
 def is_value(c: Column, value: str, ignore_case: bool = False) -> Column:

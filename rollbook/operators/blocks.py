@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.values import if_na, is_positive, is_value, to_number
+from rollbook.functions.values import if_na, is_positive, is_value, number_column, parse_numbers
 
 YES = "Yes"
 
@@ -52,7 +52,7 @@ def any_yes(df: DataFrame, prefix: str, ignore_case: bool = False) -> Column:
 
 
 def any_positive(df: DataFrame, prefix: str) -> Column:
-    return any_of([is_positive(F.col(c)) for c in block_columns(df, prefix)])
+    return any_of([is_positive(df, c) for c in block_columns(df, prefix)])
 
 
 def count_months(conditions: Sequence[Column]) -> Column:
@@ -60,12 +60,14 @@ def count_months(conditions: Sequence[Column]) -> Column:
     return reduce(Column.__add__, [F.coalesce(c.cast("bigint"), F.lit(0)) for c in conditions])
 
 
-def months_with(
-    df: DataFrame, prefix: str, test: Callable[[Column], Column] | None = None
-) -> Column:
-    """Months of one service that pass a test (default: the cell is Yes)."""
-    check = test or (lambda c: is_value(c, YES))
-    return count_months([check(F.col(c)) for c in block_columns(df, prefix)])
+def months_yes(df: DataFrame, prefix: str, ignore_case: bool = False) -> Column:
+    """Months in which a service is Yes."""
+    return count_months([is_value(F.col(c), YES, ignore_case) for c in block_columns(df, prefix)])
+
+
+def months_positive(df: DataFrame, prefix: str) -> Column:
+    """Months in which a quantity is above zero."""
+    return count_months([is_positive(df, c) for c in block_columns(df, prefix)])
 
 
 def any_flag(df: DataFrame, prefix: str, ignore_case: bool = False) -> Column:
@@ -79,12 +81,17 @@ def quantity_total(df: DataFrame, prefix: str, skip_null: bool = False) -> Colum
     The sum is strict: one month that is not a number makes it NULL. ``skip_null`` sums the known
     months instead.
     """
-    months = [to_number(F.col(c)) for c in block_columns(df, prefix)]
+    months = [number_column(df, c) for c in block_columns(df, prefix)]
     if skip_null:
         months = [F.coalesce(m, F.lit(0.0)) for m in months]
     return if_na(any_of([m > 0 for m in months]), reduce(Column.__add__, months), F.lit(0.0))
 
 
+def parse_package(df: DataFrame, package: Package = Package()) -> DataFrame:
+    """The register with the quantities of the package parsed to numbers, once per cell."""
+    return parse_numbers(df, block_columns(df, package.condoms))
+
+
 def package_any_month(
     df: DataFrame, package: Package = Package(), ignore_case: bool = False
 ) -> Column:
@@ -103,7 +110,7 @@ def package_same_month(
     yes = lambda c: is_value(F.col(c), YES, ignore_case)
     return any_of(
         [
-            yes(sti) & (yes(risk) | yes(peer)) & is_positive(F.col(condoms))
+            yes(sti) & (yes(risk) | yes(peer)) & is_positive(df, condoms)
             for sti, risk, peer, condoms in blocks
         ]
     )
@@ -117,7 +124,7 @@ def aligned_months(
     yes = lambda c: is_value(F.col(c), YES, ignore_case)
     return count_months(
         [
-            (yes(sti) & yes(peer)) | (yes(risk) & is_positive(F.col(condoms)))
+            (yes(sti) & yes(peer)) | (yes(risk) & is_positive(df, condoms))
             for sti, peer, risk, condoms in blocks
         ]
     )

@@ -31,7 +31,7 @@ def value_conditions(
 
 
 def positive_conditions(df: DataFrame, *prefixes: str) -> dict[str, Column]:
-    return {c: is_positive(F.col(c)) for c in starts_with(df, *prefixes)}
+    return {c: is_positive(df, c) for c in starts_with(df, *prefixes)}
 
 
 def count_value(

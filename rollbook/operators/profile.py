@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rollbook.functions.values import to_number
+from rollbook.functions.values import number_column
 
 RANGES = 200
 QUARTILES = (0.25, 0.5, 0.75)
@@ -64,7 +64,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
 def numeric_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, value, n): rows per distinct number; cells that are no number count as NULL."""
     cells = [
-        F.struct(F.lit(c).alias("variable"), to_number(F.col(c)).alias("value")) for c in columns
+        F.struct(F.lit(c).alias("variable"), number_column(df, c).cast("double").alias("value")) for c in columns
     ]
     return (
         df.select(F.inline(F.array(*cells)))
@@ -282,7 +282,7 @@ def pretty_breaks(low: float, high: float, n: int) -> list[float]:
 
 def default_breaks(df: DataFrame, column: str) -> list[float]:
     """Break points from the range and count of a column (one small aggregate)."""
-    value = to_number(F.col(column))
+    value = number_column(df, column)
     row = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
     if not row["n"]:
         raise ValueError(f"{column} holds no numbers")
@@ -294,7 +294,7 @@ def histogram(df: DataFrame, column: str, breaks: Sequence[float]) -> DataFrame:
 
     All values must lie within the breaks; a value outside them fails the query.
     """
-    value = to_number(F.col(column))
+    value = number_column(df, column)
     cells = list(zip(breaks, breaks[1:]))
     inside = [
         (value > low if i else value >= low) & (value <= high) for i, (low, high) in enumerate(cells)
@@ -322,7 +322,7 @@ def histogram(df: DataFrame, column: str, breaks: Sequence[float]) -> DataFrame:
 def value_pairs(df: DataFrame, group: str, column: str) -> DataFrame:
     """Rows per group and number: the points of a scatter plot with their weights."""
     return (
-        df.select(group, to_number(F.col(column)).alias(column))
+        df.select(group, number_column(df, column).alias(column))
         .groupBy(group, column)
         .agg(F.count(F.lit(1)).alias("n"))
     )

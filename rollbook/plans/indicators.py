@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions import parse_numbers
 from rollbook.operators import indicators as ind
-from rollbook.operators.blocks import Package
-from rollbook.operators.columns import NEEDLE_PREFIX
+from rollbook.operators.blocks import Package, parse_package
+from rollbook.operators.columns import NEEDLE_PREFIX, starts_with
 
 # Prefixes of services counted as Yes per month.
 YES_SERVICES = (
@@ -32,6 +33,7 @@ def indicator_report(
     ignore_case: bool = False,
 ) -> DataFrame:
     """Clients, any-month services, the package indicators and all monthly counts, per group."""
+    df = parse_numbers(df, starts_with(df, package.condoms, NEEDLE_PREFIX))
     named = lambda conditions, tag: {f"{c}_{tag}": cond for c, cond in conditions.items()}
     value = lambda *p, v: ind.value_conditions(df, *p, value=v, ignore_case=ignore_case)
     return ind.count_rows(
@@ -53,5 +55,6 @@ def package_report(
     df: DataFrame, by: Sequence[str] = ("region",), package: Package = Package()
 ) -> DataFrame:
     """Clients who got the full package in one month, and under the looser readings."""
+    df = parse_package(df, package)
     conditions = {"clients": F.lit(True), **ind.package_conditions(df, package)}
     return ind.count_rows(df, conditions, by)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import to_number
+from rollbook.functions import number_column
 from rollbook.operators import profile
 
 MAX_AGE = 100
@@ -40,7 +40,7 @@ def quality_report(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.coalesce(F.col(type_column) == "", F.lit(True))).alias("blank_type"),
         F.count_if(F.col(first_contact) > F.col(enrolment)).alias("date_order_errors"),
-        F.count_if(to_number(F.col(age)) > MAX_AGE).alias("age_too_high"),
+        F.count_if(number_column(df, age) > MAX_AGE).alias("age_too_high"),
     )
     cell = lambda section, variable, statistic, n: F.struct(
         F.lit(section).alias("section"),

@@ -8,6 +8,7 @@ columns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,8 @@ def land_sheets(spark: SparkSession, path: str, width: int, out: str) -> DataFra
         .options(ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         .csv(path)
         .select(
-            *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in [*cells, "beyond"]],
+            *cells,
+            "beyond",
             F.col("_metadata.file_path").alias("source_file"),
             F.monotonically_increasing_id().alias("row_id"),
         )
@@ -38,18 +40,16 @@ def land_sheets(spark: SparkSession, path: str, width: int, out: str) -> DataFra
     return spark.read.parquet(out)
 
 
-def _header_ids(landed: DataFrame, skip: int | None, anchor: str | None) -> DataFrame:
+def _header_ids(
+    landed: DataFrame, skip: int | None, anchor: str | None, cells: Sequence[str]
+) -> DataFrame:
     """(source_file, header_id): the row id of each file's header."""
-    if (skip is None) == (anchor is None):
-        raise ValueError("give either skip or anchor")
     if anchor is None:
         first = landed.groupBy("source_file").agg(F.min("row_id").alias("first_id"))
         return first.select("source_file", (F.col("first_id") + skip).alias("header_id"))
-    cells: list[Column] = [F.col(c).eqNullSafe(anchor) for c in landed.columns if c[0] == "c"]
+    has_anchor = reduce(Column.__or__, [F.col(c).eqNullSafe(anchor) for c in cells])
     return (
-        landed.filter(reduce(Column.__or__, cells))
-        .groupBy("source_file")
-        .agg(F.min("row_id").alias("header_id"))
+        landed.filter(has_anchor).groupBy("source_file").agg(F.min("row_id").alias("header_id"))
     )
 
 
@@ -58,37 +58,44 @@ def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None =
 
     The header is the row after ``skip`` non-blank rows, or the first row that has a cell equal to
     ``anchor``. All files opened together must share one header; blank or repeated headers get
-    their position appended. Columns beyond the last header cell must be empty.
+    their position appended. Cells are trimmed, and blank ones are NULL. Columns beyond the last
+    header cell must be empty.
     """
-    cells = [c for c in landed.columns if c[0] == "c"]
-    headers = _header_ids(landed, skip, anchor)
-    n_files = headers.count()
-    if n_files < landed.select("source_file").distinct().count():
-        raise ValueError(f"some sheets have no row with a cell {anchor!r}")
-    if n_files <= MAX_BROADCAST_FILES:
-        headers = F.broadcast(headers)
-    placed = landed.join(headers, "source_file")
+    if (skip is None) == (anchor is None):
+        raise ValueError("give either skip or anchor")
+    cells = [c for c in landed.columns if c not in ("beyond", "source_file", "row_id")]
+    n_files = landed.select("source_file").distinct().count()
+
+    def placed(anchor_cells: Sequence[str]) -> DataFrame:
+        headers = _header_ids(landed, skip, anchor, anchor_cells)
+        if n_files <= MAX_BROADCAST_FILES:
+            headers = F.broadcast(headers)
+        return landed.join(headers, "source_file")
 
+    # One header in common means that the least and the greatest header row are the same.
+    row = F.array(*cells)
     found = (
-        placed.filter(F.col("row_id") == F.col("header_id"))
-        .select(F.array(*cells).alias("names"))
-        .distinct()
-        .limit(2)
-        .collect()
+        placed(cells)
+        .filter(F.col("row_id") == F.col("header_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("names"), F.max(row).alias("other"))
+        .first()
     )
-    if len(found) != 1:
+    if found["n"] < n_files:
+        raise ValueError("some sheets have no header row")
+    if found["names"] != found["other"]:
         raise ValueError("the sheets have no header row in common")
-    names = list(found[0]["names"])
+    names = found["names"]
     last = max(i for i, name in enumerate(names) if name is not None)
     used, unused = cells[: last + 1], [*cells[last + 1 :], "beyond"]
 
-    body = placed.filter(F.col("row_id") > F.col("header_id"))
-    stray = reduce(Column.__or__, [F.col(c).isNotNull() for c in unused])
-    checked = F.when(
-        stray, F.raise_error(F.lit("a sheet has cells to the right of its header"))
-    ).otherwise(F.col("row_id") - F.col("header_id"))
-    return body.select(
-        *[F.col(c).alias(n) for c, n in zip(used, unique_by_position(names[: last + 1]))],
+    # The header is known now, so its place in each file needs one column instead of all.
+    body = placed(cells if anchor is None else [cells[names.index(anchor)]])
+    stray = reduce(Column.__or__, [F.col(c) != "" for c in unused])
+    below = F.col("row_id") > F.col("header_id")
+    refuse = F.raise_error(F.lit("a sheet has cells to the right of its header")).cast("boolean")
+    cell = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return body.filter(F.when(below & stray, refuse).otherwise(below)).select(
+        *[cell(c).alias(n) for c, n in zip(used, unique_by_position(names[: last + 1]))],
         "source_file",
-        checked.cast("bigint").alias("row_in_source"),
+        (F.col("row_id") - F.col("header_id")).alias("row_in_source"),
     )

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.session import tune_for_wide_rows
+
 REGIONS = ("COR", "LER", "NRR", "UER", "WKR")
 KEY = "o.o_orderkey"
 
@@ -90,8 +92,20 @@ for _suffix in STATUS_SUFFIXES:
     )
 
 
+# The columns in use, declared so that no job has to infer them.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +115,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     shrinks the customer side first. The join strategy is left to the optimizer's size checks and
     to adaptive skew splitting.
     """
+    tune_for_wide_rows(spark)
     orders = table(spark, sf_dir, "orders").alias("o")
     customer = table(spark, sf_dir, "customer").alias("c")
     nation = table(spark, sf_dir, "nation").alias("n")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.functions import is_positive
 from rollbook.operators import blocks, indicators
 from rollbook.operators.blocks import Package
 from rollbook.operators.columns import NEEDLE_PREFIX
@@ -92,19 +91,19 @@ def ind_any_month(spark, sf_dir):
 
 @query(f"SELECT region, {count_where(PACKAGE_ANY)} AS jan_to_march FROM register GROUP BY region")
 def ind_package_any_month(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     return indicators.count_rows(df, {"jan_to_march": blocks.package_any_month(df)}, ["region"])
 
 
 @query(f"SELECT region, {count_where(PACKAGE_SAME)} AS jan_to_march FROM register GROUP BY region")
 def ind_package_same_month(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     return indicators.count_rows(df, {"jan_to_march": blocks.package_same_month(df)}, ["region"])
 
 
 @query(f"SELECT region, count(*) AS n FROM register WHERE {PACKAGE_FLAGS} GROUP BY region")
 def ind_defined_package_flags(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     flags = blocks.package_flags(df)
     flagged = df.withColumns(flags)
     reached = flagged.filter(blocks.package_from_flags({c: F.col(c) for c in flags}))
@@ -113,7 +112,7 @@ def ind_defined_package_flags(spark, sf_dir):
 
 @query(f"SELECT region, {count_where(f'{ALIGNED_MONTHS} >= 1')} AS n FROM register GROUP BY region")
 def ind_aligned_any(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     return indicators.count_rows(df, {"n": blocks.aligned_months(df) >= 1}, ["region"])
 
 
@@ -151,16 +150,16 @@ def row_month_counts(spark, sf_dir):
     df = register(spark, sf_dir)
     return df.select(
         "sno",
-        blocks.months_with(df, PACKAGE.sti).alias("screened_for_sti_count"),
-        blocks.months_with(df, PACKAGE.peer).alias("peer_education_count"),
-        blocks.months_with(df, PACKAGE.risk).alias("risk_reduction_counseling_count"),
-        blocks.months_with(df, PACKAGE.condoms, is_positive).alias("condoms_distributed_count"),
+        blocks.months_yes(df, PACKAGE.sti).alias("screened_for_sti_count"),
+        blocks.months_yes(df, PACKAGE.peer).alias("peer_education_count"),
+        blocks.months_yes(df, PACKAGE.risk).alias("risk_reduction_counseling_count"),
+        blocks.months_positive(df, PACKAGE.condoms).alias("condoms_distributed_count"),
     )
 
 
 @query(f"SELECT sno, {ALIGNED_MONTHS} AS either_condition_count FROM register")
 def row_aligned_blocks(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     return df.select("sno", blocks.aligned_months(df).alias("either_condition_count"))
 
 
@@ -187,7 +186,7 @@ _FILLED = [f"coalesce({number(c)}, 0.0)" for c in months(CONDOMS)]
     "AS condoms_known FROM register"
 )
 def row_quantity_total(spark, sf_dir):
-    df = register(spark, sf_dir)
+    df = blocks.parse_package(register(spark, sf_dir))
     return df.select(
         "sno",
         blocks.quantity_total(df, PACKAGE.condoms).alias("condom_distributed"),
