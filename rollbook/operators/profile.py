@@ -62,7 +62,11 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def numeric_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(variable, value, n): rows per distinct number; cells that are no number count as NULL."""
+    """(variable, value, n): rows per distinct number; cells that are no number count as NULL.
+
+    The filter is always true. It keeps ``n`` in every use of this table, so that all uses in one
+    query share one scan and one shuffle.
+    """
     cells = [
         F.struct(F.lit(c).alias("variable"), number_column(df, c).cast("double").alias("value")) for c in columns
     ]
@@ -70,27 +74,23 @@ def numeric_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df.select(F.inline(F.array(*cells)))
         .groupBy("variable", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 0)
     )
 
 
-def _known(n: str = "n") -> Column:
-    return F.when(F.col("value").isNotNull(), F.col(n)).otherwise(0)
+def _known() -> Column:
+    return F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
 
 
 def _column_totals(counts: DataFrame) -> DataFrame:
-    """One row per column: size, mean, and the cut points for the value ranges.
-
-    The filter is always true. It keeps the counts in every use of this table, so that all uses
-    share one shuffle of the value counts.
-    """
+    """One row per column: size, mean, and the cut points for the value ranges."""
     cuts = [i / RANGES for i in range(1, RANGES)]
-    totals = counts.groupBy("variable").agg(
+    return counts.groupBy("variable").agg(
         F.sum("n").alias("rows"),
         F.sum(_known()).alias("known"),
         (F.sum(F.col("value") * F.col("n")) / F.sum(_known())).alias("mean"),
         F.percentile_approx("value", F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("cuts"),
     )
-    return totals.filter(F.col("rows") > 0)
 
 
 def running_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -207,13 +207,14 @@ def skim_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def extremes(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """The k lowest and k highest distinct numbers of each column, as (variable, statistic, value)."""
-    counts = numeric_value_counts(df, columns).filter(F.col("value").isNotNull())
+    counts = numeric_value_counts(df, columns)
+    value = F.col("value")
     sides = []
-    for name, order in (("lowest", F.col("value").asc()), ("highest", F.col("value").desc())):
+    for name, order in (("lowest", value.asc_nulls_last()), ("highest", value.desc_nulls_last())):
         place = F.row_number().over(W.partitionBy("variable").orderBy(order))
         sides.append(
             counts.withColumn("place", place)
-            .filter(F.col("place") <= k)
+            .filter((F.col("place") <= k) & value.isNotNull())
             .select("variable", F.concat(F.lit(f"{name}_"), "place").alias("statistic"), "value")
         )
     return sides[0].unionByName(sides[1])
