@@ -29,14 +29,21 @@ def _first_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
 
 
+def _match_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
+) -> DataFrame:
+    matched = df.join(_first_ids(df, keys, order), list(order), how)
+    return matched.select(*[f"`{c}`" for c in df.columns])
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
-    return df.join(_first_ids(df, keys, order), list(order), "left_semi")
+    return _match_first(df, keys, order, "left_semi")
 
 
 def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The second and later rows of each key."""
-    return df.join(_first_ids(df, keys, order), list(order), "left_anti")
+    return _match_first(df, keys, order, "left_anti")
 
 
 def _same_key(left: str, right: str, keys: Sequence[str]) -> Column:

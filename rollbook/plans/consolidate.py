@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from rollbook.operators import headers, hygiene, stack
+from rollbook.operators import dupes, headers, hygiene, stack
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,8 @@ class RegionalSource:
     """One regional register and how its headers are repaired.
 
     ``rules=None`` means snake-case headers; otherwise the rule chain is applied. ``row_id`` is the
-    column that holds the row order; it becomes lineage and is not part of the layout.
+    column that holds the row order; it becomes lineage and is not part of the layout. Given
+    ``keep_first``, only the first row of each value of those (layout) columns is stacked.
     """
 
     name: str
@@ -24,6 +26,7 @@ class RegionalSource:
     rules: Sequence[tuple[str, str]] | None = None
     renames: Mapping[str, str] = field(default_factory=dict)
     drop: Sequence[str] = ()
+    keep_first: Sequence[str] = ()
 
     def repaired(self) -> DataFrame:
         content = self.frame.drop(self.row_id).columns
@@ -35,28 +38,43 @@ class RegionalSource:
         df = headers.rename_by_position(
             self.frame, [by_column.get(c, c) for c in self.frame.columns]
         )
-        return headers.rename_columns(df, self.renames).drop(*self.drop)
+        return headers.rename_columns(df, self.renames).drop(*map(_quoted, self.drop))
 
 
 def consolidate(
-    sources: Sequence[RegionalSource], key: str | None = None, drop_empty: bool = True
+    sources: Sequence[RegionalSource],
+    key: str | None = None,
+    drop_empty: bool = True,
+    layout: str | None = None,
+    renames: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Stack regional registers in the given order, under the column names of the first.
+    """Stack regional registers in the given order, under the column names of one of them.
 
-    Each register loses its empty rows, its empty columns (found for all sources in one job) and,
-    given ``key``, the rows with a blank key. The remaining columns are aligned by position, so
-    the counts must agree.
+    ``layout`` names the source that gives the column names (default: the first), after
+    ``renames``. Each register loses its empty rows, its empty columns (found for all sources in
+    one job) and, given ``key``, the rows with a blank key. The remaining columns are aligned by
+    position, so the counts must agree.
     """
     frames = [s.repaired() for s in sources]
     if drop_empty:
         empty = hygiene.empty_columns([f.drop(s.row_id) for f, s in zip(frames, sources)])
-        frames = [f.drop(*names) for f, names in zip(frames, empty)]
-    layout = frames[0].drop(sources[0].row_id).columns
+        frames = [f.drop(*map(_quoted, names)) for f, names in zip(frames, empty)]
+    chosen = 0 if layout is None else [s.name for s in sources].index(layout)
+    model = frames[chosen].drop(sources[chosen].row_id)
+    names = headers.rename_columns(model, renames or {}).columns
 
     aligned = []
     for rank, (df, source) in enumerate(zip(frames, sources), start=1):
         df = hygiene.drop_empty_rows(df, lineage=[source.row_id])
         df = stack.with_lineage(df, rank, source.row_id).drop(source.row_id)
-        df = headers.rename_by_position(df, [*layout, *stack.LINEAGE])
-        aligned.append(df if key is None else hygiene.keep_nonblank(df, key))
+        df = headers.rename_by_position(df, [*names, *stack.LINEAGE])
+        if key is not None:
+            df = hygiene.keep_nonblank(df, key)
+        if source.keep_first:
+            df = dupes.first_rows(df, source.keep_first, ["row_in_source"])
+        aligned.append(df)
     return stack.stack(aligned)
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")

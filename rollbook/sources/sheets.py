@@ -54,7 +54,10 @@ def _header_ids(
 
 
 def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None = None) -> DataFrame:
-    """Data rows of landed sheets under their repaired headers, with source_file and row_in_source.
+    """Data rows of landed sheets under their repaired headers, with their place.
+
+    ``row_in_sheet`` counts from the header of each file; ``row_id`` orders all landed rows and is
+    unique among them.
 
     The header is the row after ``skip`` non-blank rows, or the first row that has a cell equal to
     ``anchor``. All files opened together must share one header; blank or repeated headers get
@@ -97,5 +100,6 @@ def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None =
     return body.filter(F.when(below & stray, refuse).otherwise(below)).select(
         *[cell(c).alias(n) for c, n in zip(used, unique_by_position(names[: last + 1]))],
         "source_file",
-        (F.col("row_id") - F.col("header_id")).alias("row_in_source"),
+        (F.col("row_id") - F.col("header_id")).alias("row_in_sheet"),
+        "row_id",
     )

@@ -32,9 +32,9 @@ def test_sheets_land_as_text(spark, tmp_path, sheet_folder, find):
     opened = sheets.open_sheets(landed, **find)
     names = ["SNo", "KP_Type", "Note\n(dd/mm)", "Visit...4", "Visit...5"]
     plain = [c.replace("\r\n", "\n") for c in opened.columns]
-    assert plain == [*names, "source_file", "row_in_source"]
-    assert {t for _, t in opened.dtypes[:-1]} == {"string"}
-    got = {r["SNo"]: tuple(r)[1:5] + (r["row_in_source"],) for r in opened.collect()}
+    assert plain == [*names, "source_file", "row_in_sheet", "row_id"]
+    assert {t for _, t in opened.dtypes[:-2]} == {"string"}
+    got = {r["SNo"]: tuple(r)[1:5] + (r["row_in_sheet"],) for r in opened.collect()}
     assert got == {
         "1": ("FSW", "two\nlines", "Yes", None, 1),
         "2": (None, 'say "hi"', "No", "Yes", 2),

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.operators import blocks, dupes, hygiene, indicators, tables
+from rollbook.plans import registers
 from rollbook.plans.consolidate import RegionalSource, consolidate
 from rollbook.plans.extracts import tracker_extract
+from rollbook.sources.sheets import land_sheets
 from workload.register import REGIONS, register
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -43,6 +45,43 @@ def test_consolidate_refuses_another_column_count(spark):
         consolidate(sources)
 
 
+def test_consolidate_keeps_first_rows_and_takes_the_layout_of_another_source(spark):
+    a = spark.createDataFrame([(2, "x", "p"), (1, "x", "q"), (3, "y", "r")], "n int, t string, u string")
+    b = spark.createDataFrame([(1, "x", "s")], "n int, `Type` string, `Unit no` string")
+    sources = [RegionalSource("A", a, "n", keep_first=["kind"]), RegionalSource("B", b, "n")]
+    got = consolidate(sources, layout="B", renames={"type": "kind"})
+    assert got.columns == ["kind", "unit_no", "source_rank", "row_in_source"]
+    assert sorted(map(tuple, got.collect())) == [("x", "q", 1, 1), ("x", "s", 2, 1), ("y", "r", 1, 3)]
+
+
+@pytest.mark.parametrize("name, n_regions", [("MSM", 5), ("FSW", 6), ("PWID", 6), ("TG", 5)])
+def test_register_definitions(name, n_regions):
+    spec = registers.REGISTERS[name]
+    regions = [sheet.region for sheet in spec.sheets]
+    assert len(set(regions)) == n_regions and spec.layout in regions
+
+
+def test_register_from_landed_sheets(spark, tmp_path):
+    """The FSW register from small files: preambles, a dropped column, first rows, blank keys."""
+    head = '"KP_Type","KP Unique Identifier\r\n(SR/Client Initials/Typology/Hotspot/PE Code/Client No)"'
+    landed = {}
+    for sheet in registers.FSW.sheets:
+        extra = ",A" if sheet.drop else ""
+        cell = ",junk" if sheet.drop else ""
+        lines = ["title"] * sheet.preamble + [head + extra]
+        lines += [f"FSW,{sheet.region}1{cell}", f"FSW,{sheet.region}1{cell}", f",{sheet.region}2{cell}"]
+        folder = tmp_path / sheet.region
+        folder.mkdir()
+        (folder / "s.csv").write_text("\n".join(lines) + "\n", newline="")
+        landed[sheet.region] = land_sheets(spark, str(folder), 4, str(tmp_path / f"l{sheet.region}"))
+    got = registers.consolidate_sheets(registers.FSW, landed)
+    assert got.columns == ["kp_type", "kp_unique_identifier", "source_rank", "row_in_source"]
+    found = sorted((r.source_rank, r.kp_unique_identifier) for r in got.collect())
+    ranks = enumerate(registers.FSW.sheets, start=1)
+    want = [(i, f"{s.region}1") for i, s in ranks for _ in range(1 if s.keep_first else 2)]
+    assert found == want
+
+
 def test_tracker_with_a_question_mark(spark):
     names = ["Region", "Start Date", "End-Date", "Age", "Sex", "Complete Sessions?", "Other"]
     df = spark.createDataFrame([tuple("abcdefg")], ", ".join(f"c{i} string" for i in range(7)))

@@ -27,7 +27,8 @@ def brute(df):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.select("id", "k", "payload").collect())
+    assert df.columns == ["id", "k", "payload"]
+    return sorted(tuple(r) for r in df.collect())
 
 
 def by_id(found):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from workload.register import register
 
 SHEET_COLUMNS = [*ID_COLUMNS, *months(PEER), *months(STI), *months(RISK), *months(CONDOMS)]
 SHEET_TITLES = ["Cohort register", "Quarter,1", '"Entered by\nthe field team"']
+SHEET_WIDTH = 40
 SHEET_HEADERS = {
     "kp_type": "KP_Type",
     "kp_unique_identifier": "KP Unique Identifier\r\n(SR/Client Initials/Typology/Hotspot/PE Code/Client No)",
@@ -41,18 +43,22 @@ def write_sheets(df: DataFrame, path: str, titles: list[str], header: list[str])
     lines.select(F.explode(with_top).alias("value")).write.text(path)
 
 
-def _as_text(column: str) -> str:
+def sheet_header(columns: Sequence[str]) -> list[str]:
+    return [SHEET_HEADERS.get(c, c.replace("_", " ").capitalize()) for c in columns]
+
+
+def as_text(column: str) -> str:
     return f"nullif(CAST({column} AS VARCHAR), '') AS {column}"
 
 
-@query(f"SELECT {', '.join(_as_text(c) for c in SHEET_COLUMNS)} FROM register")
+@query(f"SELECT {', '.join(as_text(c) for c in SHEET_COLUMNS)} FROM register")
 def src_sheet_landing(spark, sf_dir):
     df = register(spark, sf_dir).select(*SHEET_COLUMNS)
-    header = [SHEET_HEADERS.get(c, c.replace("_", " ").capitalize()) for c in df.columns]
     source, landing = new_path(spark, "sheets"), new_path(spark, "landed")
-    write_sheets(df, source, SHEET_TITLES, header)
-    landed = sheets.land_sheets(spark, source, width=40, out=landing)
-    opened = sheets.open_sheets(landed, anchor="KP_Type").drop("source_file", "row_in_source")
+    write_sheets(df, source, SHEET_TITLES, sheet_header(df.columns))
+    landed = sheets.land_sheets(spark, source, width=SHEET_WIDTH, out=landing)
+    opened = sheets.open_sheets(landed, anchor="KP_Type")
+    opened = opened.drop("source_file", "row_in_sheet", "row_id")
     return headers.rename_columns(headers.repair_names(opened), SHEET_RENAMES)
 
 

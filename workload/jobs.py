@@ -14,7 +14,9 @@ from rollbook.plans.indicators import (
     package_report,
 )
 from rollbook.plans.quality import MAX_AGE, quality_report
+from rollbook.plans.registers import TG, consolidate_sheets
 from rollbook.plans.repair import repair_values
+from rollbook.sources.sheets import land_sheets
 from rollbook.sources.workspace import new_path
 from workload.catalog import (
     ALIGNED_MONTHS,
@@ -35,7 +37,7 @@ from workload.catalog import (
     query,
 )
 from workload.cleaning import DASHBOARD, ID_COLUMNS, status_sql
-from workload.files import SHEET_COLUMNS
+from workload.files import SHEET_COLUMNS, SHEET_WIDTH, as_text, sheet_header, write_sheets
 from workload.register import COLUMNS, REGIONS, register
 
 # ---- consolidation ----------------------------------------------------------------------------
@@ -69,6 +71,29 @@ def job_consolidate(spark, sf_dir):
     return consolidate(list(_regional_sources(spark, sf_dir)), key="kp_type")
 
 
+_TG_RANK = "CASE region " + " ".join(
+    f"WHEN '{sheet.region}' THEN {i}" for i, sheet in enumerate(TG.sheets, 1)
+) + " END"
+
+
+@query(
+    f"SELECT {', '.join(as_text(c) for c in SHEET_COLUMNS)}, {_TG_RANK} AS source_rank "
+    "FROM register WHERE kp_type <> ''"
+)
+def job_register_from_sheets(spark, sf_dir):
+    """Each region's rows go out as sheets with that region's preamble, and come back as one."""
+    df = register(spark, sf_dir).select(*SHEET_COLUMNS)
+    landed = {}
+    for sheet in TG.sheets:
+        source = new_path(spark, f"sheets-{sheet.region}")
+        titles = [f"Title {i}" for i in range(sheet.preamble)]
+        own = df.filter(F.col("region") == sheet.region)
+        write_sheets(own, source, titles, sheet_header(df.columns))
+        out = new_path(spark, f"landed-{sheet.region}")
+        landed[sheet.region] = land_sheets(spark, source, SHEET_WIDTH, out)
+    return consolidate_sheets(TG, landed).drop("row_in_source")
+
+
 # ---- repair -----------------------------------------------------------------------------------
 
 _REPAIR_COLUMNS = [c for c in ID_COLUMNS if c != "remarks"]
