@@ -19,7 +19,8 @@ from pyspark.sql.types import StringType
 
 from rollbook.functions.values import number_column
 
-RANGES = 200
+RANGES = 196
+CUT_STEP = 14  # the search looks at every 14th cut first
 QUARTILES = (0.25, 0.5, 0.75)
 DESCRIBE_QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
@@ -67,11 +68,9 @@ def numeric_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The filter is always true. It keeps ``n`` in every use of this table, so that all uses in one
     query share one scan and one shuffle.
     """
-    cells = [
-        F.struct(F.lit(c).alias("variable"), number_column(df, c).cast("double").alias("value")) for c in columns
-    ]
+    numbers = df.select(*[number_column(df, c).cast("double").alias(c) for c in columns])
     return (
-        df.select(F.inline(F.array(*cells)))
+        numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "variable", "value")
         .groupBy("variable", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 0)
@@ -85,12 +84,21 @@ def _known() -> Column:
 def _column_totals(counts: DataFrame) -> DataFrame:
     """One row per column: size, mean, and the cut points for the value ranges."""
     cuts = [i / RANGES for i in range(1, RANGES)]
-    return counts.groupBy("variable").agg(
+    totals = counts.groupBy("variable").agg(
         F.sum("n").alias("rows"),
         F.sum(_known()).alias("known"),
         (F.sum(F.col("value") * F.col("n")) / F.sum(_known())).alias("mean"),
-        F.percentile_approx("value", F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("cuts"),
+        F.percentile_approx("value", F.array(*map(F.lit, cuts)), F.lit(2_000)).alias("cuts"),
     )
+    milestones = F.filter("cuts", lambda _, i: (i + 1) % CUT_STEP == 0)
+    return totals.withColumn("milestones", milestones)
+
+
+def _range_of_value() -> Column:
+    """The number of cuts below the value: first among the milestones, then in the block after."""
+    below = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("value"))), F.lit(0))
+    passed = below(F.col("milestones")) * CUT_STEP
+    return passed + below(F.slice("cuts", passed + 1, CUT_STEP))
 
 
 def running_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,9 +109,7 @@ def running_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     counts = numeric_value_counts(df, columns)
     totals = _column_totals(counts)
-    ranged = counts.join(F.broadcast(totals), "variable").withColumn(
-        "range", F.coalesce(F.size(F.filter("cuts", lambda cut: cut < F.col("value"))), F.lit(0))
-    )
+    ranged = counts.join(F.broadcast(totals), "variable").withColumn("range", _range_of_value())
     in_order = W.partitionBy("variable").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("variable", "range")
@@ -242,12 +248,13 @@ def text_columns(df: DataFrame) -> list[str]:
 def skim_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing, complete rate, length range, blank, distinct and whitespace-only cells per column."""
     names = text_columns(df) if columns is None else list(columns)
-    cells = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").alias("value")) for c in names]
+    quoted = [F.col(f"`{c}`") for c in names]
     value, n = F.col("value"), F.col("n")
     zero = F.lit(0).cast("bigint")
     count_where = lambda cond: F.coalesce(F.sum(F.when(cond, n)), zero)
     return (
-        df.select(F.inline(F.array(*cells)))
+        df.select(*quoted)
+        .unpivot([], quoted, "variable", "value")
         .groupBy("variable", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("variable")

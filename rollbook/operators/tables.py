@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOTAL = "Total"
+NA_LEVEL = "NA_"
 
 
 def one_way(df: DataFrame, column: str) -> DataFrame:
@@ -20,7 +21,7 @@ def one_way(df: DataFrame, column: str) -> DataFrame:
         "n",
         (F.col("n") / levels.agg(F.sum("n")).scalar()).alias("percent"),
         (known / levels.agg(F.sum(known)).scalar()).alias("valid_percent"),
-    ).orderBy(column)
+    ).orderBy(F.col(column).asc_nulls_last())
 
 
 def percent_label(share: Column, n: Column) -> Column:
@@ -43,15 +44,16 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def two_way(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """Contingency table with one column per listed value; empty cells are 0."""
-    return (
-        df.groupBy(rows)
-        .pivot(columns, list(values))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0, list(values))
-        .orderBy(rows)
-    )
+def _level(value: str | None) -> str:
+    return NA_LEVEL if value is None else value
+
+
+def two_way(
+    df: DataFrame, rows: str, columns: str, values: Sequence[str | None]
+) -> DataFrame:
+    """Contingency table with one column per listed value; None counts the missing ones."""
+    cells = [F.count_if(F.col(columns).eqNullSafe(v)).alias(_level(v)) for v in values]
+    return df.groupBy(rows).agg(*cells).orderBy(F.col(rows).asc_nulls_last())
 
 
 def two_way_cube(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -74,22 +76,24 @@ def two_way_cube(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def two_way_totals(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
+def two_way_totals(
+    df: DataFrame, rows: str, columns: str, values: Sequence[str | None]
+) -> DataFrame:
     """Contingency table with a total row and a total column."""
-    cell = lambda v: F.sum(F.when(F.col(columns) == v, F.col("n")).otherwise(0)).alias(v)
+    cell = lambda v: F.when(F.col(columns).eqNullSafe(v), F.col("n")).otherwise(0)
     return (
         pair_counts(df, rows, columns)
         .rollup(rows)
         .agg(
             F.grouping(rows).alias("is_total"),
-            *[cell(v) for v in values],
+            *[F.sum(cell(v)).alias(_level(v)) for v in values],
             F.sum("n").alias("total"),
         )
         .select(
             F.when(F.col("is_total") == 1, TOTAL).otherwise(F.col(rows)).alias(rows),
-            *[f"`{v}`" for v in values],
+            *[f"`{_level(v)}`" for v in values],
             "total",
             F.col("is_total").cast("int").alias("is_total"),
         )
-        .orderBy("is_total", rows)
+        .orderBy("is_total", F.col(rows).asc_nulls_last())
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import STATUS_INTENDED, excel_date, place_from_code, recode
+from rollbook.functions import STATUS_INTENDED, excel_date, place_from_code, recode, text_date
 from rollbook.functions.recodes import PLACE_CODES, REGION_CODES, SEX_CODES
 from rollbook.operators.columns import lower_text, swap_where
 
@@ -36,10 +36,12 @@ def repair_values(
     lower: Sequence[str] = ("sr_name", "kp_name"),
     status: str = "hiv_status_at_enrollment",
     status_map: Mapping[str, str] = STATUS_INTENDED,
+    text_dates: Sequence[str] = (),
 ) -> DataFrame:
     """Swap, lower, recode and convert the columns that regions enter differently.
 
     Only the listed columns are lowered: the monthly cells are tested for ``Yes`` later on.
+    ``text_dates`` are columns that hold dates as text.
     """
     for swap in swaps:
         df = swap_where(df, F.col("region") == swap.region, swap.a, swap.b)
@@ -50,6 +52,7 @@ def repair_values(
             "sex": recode(F.col("sex"), SEX_CODES),
             status: recode(F.col(status), status_map),
             "date_of_next_appointment": excel_date(F.col("date_of_next_appointment")),
+            **{c: text_date(F.col(c)) for c in text_dates},
             "county": place_from_code(F.col("kp_unique_identifier"), F.col("county"), PLACE_CODES),
         }
     )

@@ -1,5 +1,6 @@
 """Whole jobs, plan checks, and the known counts of the register view."""
 
+import datetime
 import os
 
 import pytest
@@ -9,6 +10,7 @@ from rollbook.operators import blocks, dupes, hygiene, indicators, tables
 from rollbook.plans import registers
 from rollbook.plans.consolidate import RegionalSource, consolidate
 from rollbook.plans.extracts import tracker_extract
+from rollbook.plans.repair import repair_values
 from rollbook.sources.sheets import land_sheets
 from workload.register import REGIONS, register
 
@@ -82,6 +84,26 @@ def test_register_from_landed_sheets(spark, tmp_path):
     assert found == want
 
 
+def test_repair_restores_exchanged_columns_and_reads_dates(spark):
+    columns = (
+        "region string, county string, sr_name string, kp_type string, kp_unique_identifier string, "
+        "kp_name string, sex string, hiv_status_at_enrollment string, "
+        "date_of_next_appointment string, date_of_enrolment string"
+    )
+    rows = [
+        ("LER", "Partner", "Nairobi", "FSW", "01_1", "Ann", "Male", "Uknown", "45413", "2024-01-02"),
+        ("WKR", "Kisumu", "Partner", "02_2", "TG", None, None, "x", "TBD", "2024/01/02"),
+        (None, "Lamu", "Partner", "TG", "05_3", "Bo", "Female", None, None, "soon"),
+    ]
+    got = repair_values(spark.createDataFrame(rows, columns), text_dates=["date_of_enrolment"])
+    day, next_day = datetime.date(2024, 1, 2), datetime.date(2024, 5, 1)
+    assert [tuple(r) for r in got.collect()] == [
+        ("LER", "NAIROBI", "partner", "FSW", "01_1", "ann", "MALE", "Unknown", next_day, day),
+        ("WKR", "KISUMU", "partner", "TG", "02_2", None, None, "x", None, day),
+        (None, "LAMU", "partner", "TG", "05_3", "bo", "Female", None, None, None),
+    ]
+
+
 def test_tracker_with_a_question_mark(spark):
     names = ["Region", "Start Date", "End-Date", "Age", "Sex", "Complete Sessions?", "Other"]
     df = spark.createDataFrame([tuple("abcdefg")], ", ".join(f"c{i} string" for i in range(7)))

@@ -23,7 +23,7 @@ def frame(spark, numbers):
     return df.repartition(5).cache()
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 200])
+@pytest.mark.parametrize("ranges", [1, 7, 28, 200])
 def test_quantiles_are_exact_for_any_number_of_ranges(frame, numbers, ranges, monkeypatch):
     monkeypatch.setattr(profile, "RANGES", ranges)
     points = (0.0, 0.05, 0.25, 0.5, 0.73, 0.95, 1.0)
@@ -107,7 +107,7 @@ def test_histogram_is_closed_on_the_right(spark):
 def test_one_way_levels_and_labels(spark):
     df = spark.createDataFrame([("a",)] * 1 + [(None,)] * 3 + [("b",)] * 4, "x string")
     got = [tuple(r) for r in tables.one_way(df, "x").collect()]
-    assert got == [(None, 3, 0.375, None), ("a", 1, 0.125, 0.2), ("b", 4, 0.5, 0.8)]
+    assert got == [("a", 1, 0.125, 0.2), ("b", 4, 0.5, 0.8), (None, 3, 0.375, None)]
     label = tables.one_way_percent(df, "x").filter("x = 'a'").first()
     assert (label["pct"], label["label"]) == (12.5, "12.50% (1)")
 
@@ -121,7 +121,10 @@ def test_percent_ties_go_to_the_even_digit(spark):
 def test_totals_are_not_confused_with_missing(spark):
     df = spark.createDataFrame([("a", "x"), (None, "x"), (None, None)], "r string, c string")
     got = [tuple(r) for r in tables.two_way_totals(df, "r", "c", ["x", "y"]).collect()]
-    assert got == [(None, 1, 0, 2, 0), ("a", 1, 0, 1, 0), ("Total", 2, 0, 3, 1)]
+    assert got == [("a", 1, 0, 1, 0), (None, 1, 0, 2, 0), ("Total", 2, 0, 3, 1)]
+    wide = tables.two_way(df, "r", "c", ["x", None])
+    assert wide.columns == ["r", "x", "NA_"]
+    assert [tuple(r) for r in wide.collect()] == [("a", 1, 0), (None, 1, 1)]
     cube = {(r.r_level, r.c_level, r.margin): r.n for r in tables.two_way_cube(df, "r", "c").collect()}
     assert cube[(None, None, 0)] == 1 and cube[("Total", "Total", 3)] == 3
     assert cube[("Total", None, 2)] == 1 and cube[(None, "Total", 1)] == 2
