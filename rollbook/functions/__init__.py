@@ -12,8 +12,10 @@ from rollbook.functions.values import (
     if_na,
     is_positive,
     is_value,
+    is_yes,
     number_column,
     parse_numbers,
+    parse_yes,
     run_date_label,
     text_date,
     to_number,
@@ -27,8 +29,10 @@ __all__ = [
     "if_na",
     "is_positive",
     "is_value",
+    "is_yes",
     "number_column",
     "parse_numbers",
+    "parse_yes",
     "place_from_code",
     "recode",
     "run_date_label",

@@ -10,8 +10,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, NumericType
 
+YES = "Yes"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 EXCEL_EPOCH = "1899-12-30"
 EXCEL_LAST_SERIAL = 2_958_465  # 9999-12-31
@@ -56,6 +57,19 @@ def is_value(c: Column, value: str, ignore_case: bool = False) -> Column:
     return c == value
 
 
+def is_yes(df: DataFrame, name: str, ignore_case: bool = False) -> Column:
+    """A service cell is Yes; columns that are already parsed to booleans are taken as they are."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, BooleanType):
+        return c
+    return is_value(c, YES, ignore_case)
+
+
+def parse_yes(df: DataFrame, names: Iterable[str], ignore_case: bool = False) -> DataFrame:
+    """Parse the listed service columns to booleans once; missing cells stay NULL."""
+    return df.withColumns({name: is_yes(df, name, ignore_case) for name in names})
+
+
 def excel_date(c: Column) -> Column:
     """Spreadsheet day serial to date.
 

@@ -10,9 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.values import if_na, is_positive, is_value, number_column, parse_numbers
-
-YES = "Yes"
+from rollbook.functions.values import (
+    YES,
+    if_na,
+    is_positive,
+    is_yes,
+    number_column,
+    parse_numbers,
+)
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 
 def any_yes(df: DataFrame, prefix: str, ignore_case: bool = False) -> Column:
-    return any_of([is_value(F.col(c), YES, ignore_case) for c in block_columns(df, prefix)])
+    return any_of([is_yes(df, c, ignore_case) for c in block_columns(df, prefix)])
 
 
 def any_positive(df: DataFrame, prefix: str) -> Column:
@@ -62,7 +67,7 @@ def count_months(conditions: Sequence[Column]) -> Column:
 
 def months_yes(df: DataFrame, prefix: str, ignore_case: bool = False) -> Column:
     """Months in which a service is Yes."""
-    return count_months([is_value(F.col(c), YES, ignore_case) for c in block_columns(df, prefix)])
+    return count_months([is_yes(df, c, ignore_case) for c in block_columns(df, prefix)])
 
 
 def months_positive(df: DataFrame, prefix: str) -> Column:
@@ -107,7 +112,7 @@ def package_same_month(
 ) -> Column:
     """The whole package inside one month."""
     blocks = aligned_blocks(df, [package.sti, package.risk, package.peer, package.condoms])
-    yes = lambda c: is_value(F.col(c), YES, ignore_case)
+    yes = lambda c: is_yes(df, c, ignore_case)
     return any_of(
         [
             yes(sti) & (yes(risk) | yes(peer)) & is_positive(df, condoms)
@@ -121,7 +126,7 @@ def aligned_months(
 ) -> Column:
     """Months with (STI and peer education) or (risk counselling and condoms)."""
     blocks = aligned_blocks(df, [package.sti, package.peer, package.risk, package.condoms])
-    yes = lambda c: is_value(F.col(c), YES, ignore_case)
+    yes = lambda c: is_yes(df, c, ignore_case)
     return count_months(
         [
             (yes(sti) & yes(peer)) | (yes(risk) & is_positive(df, condoms))

@@ -11,9 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.values import is_positive, is_value
+from rollbook.functions.values import YES, is_positive, is_value, is_yes
 from rollbook.operators import blocks
-from rollbook.operators.blocks import YES, Package
+from rollbook.operators.blocks import Package
 from rollbook.operators.columns import starts_with
 
 
@@ -27,7 +27,11 @@ def count_rows(
 def value_conditions(
     df: DataFrame, *prefixes: str, value: str = YES, ignore_case: bool = False
 ) -> dict[str, Column]:
-    return {c: is_value(F.col(c), value, ignore_case) for c in starts_with(df, *prefixes)}
+    """One condition per column with a prefix: the cell equals the value."""
+    names = starts_with(df, *prefixes)
+    if value == YES:
+        return {c: is_yes(df, c, ignore_case) for c in names}
+    return {c: is_value(F.col(c), value, ignore_case) for c in names}
 
 
 def positive_conditions(df: DataFrame, *prefixes: str) -> dict[str, Column]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import parse_numbers
+from rollbook.functions import parse_numbers, parse_yes
 from rollbook.operators import indicators as ind
 from rollbook.operators.blocks import Package, parse_package
 from rollbook.operators.columns import NEEDLE_PREFIX, starts_with
@@ -33,7 +33,9 @@ def indicator_report(
     ignore_case: bool = False,
 ) -> DataFrame:
     """Clients, any-month services, the package indicators and all monthly counts, per group."""
+    services = starts_with(df, *YES_SERVICES, package.sti, package.peer, package.risk)
     df = parse_numbers(df, starts_with(df, package.condoms, NEEDLE_PREFIX))
+    df = parse_yes(df, services, ignore_case)
     named = lambda conditions, tag: {f"{c}_{tag}": cond for c, cond in conditions.items()}
     value = lambda *p, v: ind.value_conditions(df, *p, value=v, ignore_case=ignore_case)
     return ind.count_rows(
