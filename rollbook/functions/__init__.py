@@ -7,10 +7,12 @@ from rollbook.functions.recodes import (
     recode,
 )
 from rollbook.functions.values import (
+    cell_date,
     concat_na,
     excel_date,
     if_na,
     is_positive,
+    is_unread_date,
     is_value,
     is_yes,
     number_column,
@@ -24,10 +26,12 @@ from rollbook.functions.values import (
 __all__ = [
     "STATUS_AS_WRITTEN",
     "STATUS_INTENDED",
+    "cell_date",
     "concat_na",
     "excel_date",
     "if_na",
     "is_positive",
+    "is_unread_date",
     "is_value",
     "is_yes",
     "number_column",

@@ -17,7 +17,11 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 EXCEL_EPOCH = "1899-12-30"
 EXCEL_LAST_SERIAL = 2_958_465  # 9999-12-31
 EXCEL_FALSE_LEAP_DAY = 60  # 1900-02-29, which did not exist
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd")
+# Day before month, as the headers announce it; a month may be a name.
+DATE_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "d-MMM-yyyy", "d/MMM/yyyy",
+)
 
 
 def if_na(condition: Column, yes: Column, no: Column) -> Column:
@@ -84,7 +88,18 @@ def excel_date(c: Column) -> Column:
 
 def text_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Text to date by the first format that fits; NULL when none does."""
-    return F.coalesce(*[F.try_to_date(c, f) for f in formats])
+    text = F.initcap(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+
+
+def cell_date(c: Column) -> Column:
+    """A date cell of a sheet: a day serial, or else text in one of the known formats."""
+    return F.coalesce(excel_date(c), text_date(c))
+
+
+def is_unread_date(c: Column) -> Column:
+    """The cell holds something, and it is no date that can be read."""
+    return F.coalesce((F.trim(c) != "") & cell_date(c).isNull(), F.lit(False))
 
 
 def concat_na(*cols: Column) -> Column:

@@ -17,7 +17,9 @@ DASHBOARD_PREFIXES = (
     "received_peer_education", "tested_for_hiv", "screened_for_stis", "condoms_distributed_nmbr",
     "screened_for_tb", "provided_with_risk_reduction_couselling", "initiated_on_prep",
 )
+# The prefix that the dashboard of one register has besides.
 NEEDLE_PREFIX = "needles_and_syringes_distributed_nmbr"
+NEEDLE_DASHBOARD_PREFIXES = (*DASHBOARD_PREFIXES, NEEDLE_PREFIX)
 
 
 def starts_with(df: DataFrame, *prefixes: str) -> list[str]:

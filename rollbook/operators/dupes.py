@@ -1,11 +1,11 @@
 """Repeated keys.
 
-"First" always means first by explicit order columns, which must be non-null and identify a row
-(the lineage columns do). Two NULL keys count as equal.
+"First" always means first by explicit order columns. NULL keys count as equal, NULL order values
+come first.
 
-No operator here gathers the rows of one key in one task. A key's first row is found with a
-minimum that combines before the shuffle, and rows are matched to it by their own id, which
-spreads evenly however many rows a key has.
+No operator here gathers the rows of one key in one task. A key's first row is a minimum, which
+combines before the shuffle; later rows are matched to it by their own place, which spreads evenly
+however many rows a key has; group sizes meet the rows under a salt.
 """
 
 from __future__ import annotations
@@ -16,79 +16,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key counts as hot above this many rows and above 1/MAX_HOT_KEYS of all rows. The second
-# condition bounds the number of hot keys, so their table is small enough to broadcast.
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 50_000
+SALTS = 16  # tasks that the rows of one key are dealt to when its size is looked up
 
 
-def _first_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    if len(order) == 1:
-        first = F.min(order[0]).alias(order[0])
-        return df.groupBy(*keys).agg(first).select(*order)
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+def _quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
 
 
-def _match_first(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
-) -> DataFrame:
-    matched = df.join(_first_ids(df, keys, order), list(order), how)
-    return matched.select(*[f"`{c}`" for c in df.columns])
+def _same(left: str, right: str, names: Sequence[str]) -> Column:
+    both = [(F.col(f"{left}.`{n}`"), F.col(f"{right}.`{n}`")) for n in names]
+    return reduce(Column.__and__, [a.eqNullSafe(b) for a, b in both])
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    return _match_first(df, keys, order, "left_semi")
+    """The first row of each key, and no other: of rows that tie, the least by all columns."""
+    least = F.min(F.struct(F.struct(*_quoted(order)), F.struct(*_quoted(df.columns)).alias("row")))
+    return df.groupBy(*_quoted(keys)).agg(least.alias("_least")).select("_least.row.*")
 
 
 def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The second and later rows of each key."""
-    return _match_first(df, keys, order, "left_anti")
-
-
-def _same_key(left: str, right: str, keys: Sequence[str]) -> Column:
-    return reduce(
-        Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+    """The second and later rows of each key. Fails if two rows tie for a key's first place."""
+    place = list(dict.fromkeys([*keys, *order]))
+    places = df.groupBy(*_quoted(place)).agg(F.count(F.lit(1)).alias("_n"))
+    least = F.min(F.struct(F.struct(*_quoted(order)), *_quoted(place), "_n")).alias("_least")
+    tied = F.raise_error(F.lit("the order columns do not tell a key's first row")).cast("boolean")
+    first = (
+        places.groupBy(*_quoted(keys))
+        .agg(least)
+        .select(*[F.col(f"_least.`{c}`") for c in place], "_least._n")
+        .filter(F.when(F.col("_n") > 1, tied).otherwise(True))
     )
+    return df.alias("row").join(first.alias("first"), _same("row", "first", place), "left_anti")
 
 
-def get_dupes(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def get_dupes(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """All rows of repeated keys with ``dupe_count``; keys first, largest groups first.
 
-    Group sizes are counted before any row moves. Hot keys get theirs by broadcast; their rows
-    then pass the shuffle join for the other keys spread by row id, where they match nothing. The
-    order columns end the sort key, so that a hot key can fill many output partitions.
+    Sizes are counted before any row moves. Those of repeated keys are copied under every salt, and
+    a row meets its key's size under the salt of its own place, so a key of any size fills SALTS
+    tasks. The order columns end the sort key, so that a hot key can fill many output partitions.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    is_hot = (F.col("_n") > hot_rows) & (F.col("_n") > total / MAX_HOT_KEYS)
-    repeated = sizes.filter(F.col("_n") > 1)
-    hot = repeated.filter(is_hot).withColumnRenamed("_n", "_hot_n").alias("hot")
-    rest = repeated.filter(~is_hot).withColumn("_spread", F.lit(0).cast("bigint")).alias("rest")
-
-    rows = (
-        df.alias("reg")
-        .join(F.broadcast(hot), _same_key("reg", "hot", keys), "left")
-        .select(
-            "reg.*",
-            "_hot_n",
-            F.when(F.col("_hot_n").isNull(), F.lit(0).cast("bigint"))
-            .otherwise(F.xxhash64(*order))
-            .alias("_spread"),
-        )
-        .alias("reg")
-    )
-    same = _same_key("reg", "rest", keys) & (F.col("reg._spread") == F.col("rest._spread"))
-    others = [F.col(f"reg.`{c}`") for c in df.columns if c not in set(keys)]
+    sizes = df.groupBy(*_quoted(keys)).agg(F.count(F.lit(1)).alias("dupe_count"))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    sizes = sizes.filter("dupe_count > 1").withColumn("_salt", salts).alias("size")
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*_quoted(order)), F.lit(SALTS)).cast("int"))
+    same = _same("row", "size", keys) & (F.col("row._salt") == F.col("size._salt"))
+    others = [F.col(f"row.`{c}`") for c in df.columns if c not in set(keys)]
     return (
-        rows.join(rest, same, "left")
-        .select(
-            *[F.col(f"reg.{k}") for k in keys],
-            F.coalesce("_hot_n", "_n").alias("dupe_count"),
-            *others,
-        )
-        .filter(F.col("dupe_count").isNotNull())
-        .orderBy(F.col("dupe_count").desc(), *keys, *order)
+        rows.alias("row")
+        .join(sizes, same)
+        .select(*[F.col(f"row.`{k}`") for k in keys], "dupe_count", *others)
+        .orderBy(F.col("dupe_count").desc(), *_quoted(keys), *_quoted(order))
     )

@@ -39,6 +39,12 @@ REGISTER_RENAMES = {
     "date_of_next_appointment\r\ndd_mm_yyyy_eg_02_may_201873": "date_of_next_appointment73",
     "date_of_next_appointment\r\ndd_mm_yyyy_eg_02_may_2018126": "date_of_next_appointment126",
 }
+# The same headers in snake case.
+SNAKE_RENAMES = {
+    "kp_unique_identifier_sr_client_initials_typology_hotspot_pe_code_client_no": "kp_unique_identifier",
+    "date_of_enrolment_dd_mm_yyyy": "date_of_enrolment",
+    "date_of_first_contact_dd_mm_yyyy": "date_of_first_contact",
+}
 EXPORT_RENAMES = {
     "kp_unique_identifier\r\nsrclient_initialstypologyhotspotpe_codeclient_no": "kp_unique_identifier",
     "date_of_next_appointment\r\ndd_mm_yyyy_eg_02_may_2018126": "date_of_next_appointment",

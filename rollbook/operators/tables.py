@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOTAL = "Total"
 NA_LEVEL = "NA_"
+OTHER = "other_levels"
 
 
 def one_way(df: DataFrame, column: str) -> DataFrame:
@@ -51,8 +53,13 @@ def _level(value: str | None) -> str:
 def two_way(
     df: DataFrame, rows: str, columns: str, values: Sequence[str | None]
 ) -> DataFrame:
-    """Contingency table with one column per listed value; None counts the missing ones."""
+    """Contingency table with one column per listed value; None counts the missing ones.
+
+    Rows with any other value count in ``other_levels``, so no row is left out.
+    """
     cells = [F.count_if(F.col(columns).eqNullSafe(v)).alias(_level(v)) for v in values]
+    listed = reduce(Column.__or__, [F.col(columns).eqNullSafe(v) for v in values], F.lit(False))
+    cells.append(F.count_if(~listed).alias(OTHER))
     return df.groupBy(rows).agg(*cells).orderBy(F.col(rows).asc_nulls_last())
 
 
@@ -79,19 +86,26 @@ def two_way_cube(df: DataFrame, a: str, b: str) -> DataFrame:
 def two_way_totals(
     df: DataFrame, rows: str, columns: str, values: Sequence[str | None]
 ) -> DataFrame:
-    """Contingency table with a total row and a total column."""
+    """Contingency table with a total row and a total column, to which the cells add up.
+
+    Rows with a value that is not listed count in ``other_levels``.
+    """
     cell = lambda v: F.when(F.col(columns).eqNullSafe(v), F.col("n")).otherwise(0)
+    listed = reduce(Column.__or__, [F.col(columns).eqNullSafe(v) for v in values], F.lit(False))
+    other = F.when(~listed, F.col("n")).otherwise(0)
     return (
         pair_counts(df, rows, columns)
         .rollup(rows)
         .agg(
             F.grouping(rows).alias("is_total"),
             *[F.sum(cell(v)).alias(_level(v)) for v in values],
+            F.sum(other).alias(OTHER),
             F.sum("n").alias("total"),
         )
         .select(
             F.when(F.col("is_total") == 1, TOTAL).otherwise(F.col(rows)).alias(rows),
             *[f"`{_level(v)}`" for v in values],
+            OTHER,
             "total",
             F.col("is_total").cast("int").alias("is_total"),
         )

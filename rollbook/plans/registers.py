@@ -14,8 +14,8 @@ from rollbook.sources.sheets import open_sheets
 
 @dataclass(frozen=True)
 class Sheet:
-    """One regional sheet: rows above its header, columns to drop, and whether to keep only the
-    first row of each client."""
+    """One regional sheet: rows above its header at most, columns to drop, and whether to keep only
+    the first row of each client."""
 
     region: str
     preamble: int
@@ -25,7 +25,10 @@ class Sheet:
 
 @dataclass(frozen=True)
 class Register:
-    """Sheets in stacking order. ``layout`` is the region whose column names all take."""
+    """Sheets in stacking order. ``layout`` is the region whose column names all take.
+
+    ``anchor`` is a cell that only headers have; ``key`` and ``client`` are repaired names.
+    """
 
     name: str
     sheets: tuple[Sheet, ...]
@@ -33,6 +36,7 @@ class Register:
     rules: tuple[tuple[str, str], ...] | None = headers.REGISTER_RULES
     renames: Mapping[str, str] = field(default_factory=dict)
     drop_empty: bool = False
+    anchor: str = "KP Type"
     key: str = "kp_type"
     client: str = "kp_unique_identifier"
 
@@ -43,6 +47,7 @@ MSM = Register(
     (Sheet("LER", 7), Sheet("NRR", 2), Sheet("WKR", 4), Sheet("COR", 0), Sheet("UER", 0)),
     layout="NRR",
     rules=None,
+    renames=headers.SNAKE_RENAMES,
     drop_empty=True,
 )
 FSW = Register(
@@ -89,7 +94,7 @@ def consolidate_sheets(
     """
     sources = []
     for sheet in register.sheets:
-        opened = open_sheets(landed[sheet.region], skip=sheet.preamble)
+        opened = open_sheets(landed[sheet.region], skip=sheet.preamble, anchor=register.anchor)
         sources.append(
             RegionalSource(
                 sheet.region,

@@ -8,9 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import STATUS_INTENDED, excel_date, place_from_code, recode, text_date
+from rollbook.functions import STATUS_INTENDED, cell_date, is_unread_date, place_from_code, recode, text_date
 from rollbook.functions.recodes import PLACE_CODES, REGION_CODES, SEX_CODES
-from rollbook.operators.columns import lower_text, swap_where
+from rollbook.operators.columns import lower_text, starts_with, swap_where
+
+# Prefixes of columns with the status at each visit, and of date cells.
+STATUS_PREFIXES = ("hiv_status", "hiv_care_outcome")
+DATE_PREFIX = "date_of_next_appointment"
 
 
 @dataclass(frozen=True)
@@ -40,20 +44,35 @@ def repair_values(
 ) -> DataFrame:
     """Swap, lower, recode and convert the columns that regions enter differently.
 
-    Only the listed columns are lowered: the monthly cells are tested for ``Yes`` later on.
-    ``text_dates`` are columns that hold dates as text.
+    The listed columns and the monthly status columns are lowered, not the other monthly cells,
+    which are tested for ``Yes`` later on. Dates of next appointments, one or one a month, are day
+    serials or text; ``text_dates`` are columns that hold dates as text. ``unread_dates`` counts
+    the cells that are neither.
     """
     for swap in swaps:
         df = swap_where(df, F.col("region") == swap.region, swap.a, swap.b)
-    df = lower_text(df, lower)
+    monthly = [c for c in starts_with(df, *STATUS_PREFIXES) if c != status]
+    df = lower_text(df, [*lower, *monthly])
     df = df.withColumns(
         {
             "region": recode(F.col("region"), REGION_CODES),
             "sex": recode(F.col("sex"), SEX_CODES),
             status: recode(F.col(status), status_map),
-            "date_of_next_appointment": excel_date(F.col("date_of_next_appointment")),
+            **{c: cell_date(F.col(f"`{c}`")) for c in starts_with(df, DATE_PREFIX)},
             **{c: text_date(F.col(c)) for c in text_dates},
             "county": place_from_code(F.col("kp_unique_identifier"), F.col("county"), PLACE_CODES),
         }
     )
     return df.withColumn("county", F.upper("county"))
+
+
+def unread_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n_unread) of raw date columns: cells that hold something, but no date."""
+    counted = df.agg(
+        *[F.count_if(is_unread_date(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(columns)]
+    )
+    cells = [
+        F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n_unread"))
+        for i, c in enumerate(columns)
+    ]
+    return counted.select(F.inline(F.array(*cells)))

@@ -11,7 +11,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rollbook.functions.values import run_date_label
 
 NA = "NA"
-_DIALECT = {"header": True, "quote": '"', "escape": '"'}
+# White space at the ends of a cell is part of it, and a row ends where the writer ends it: looked
+# for in the text, the end could be taken from a line break inside a cell.
+_DIALECT = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "lineSep": "\n",
+}
 
 
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
@@ -33,17 +42,21 @@ def read_csv(
     spark: SparkSession,
     path: str,
     schema: StructType | None = None,
-    line_breaks: bool = False,
+    line_breaks: bool = True,
+    line_sep: str = "\n",
 ) -> DataFrame:
     """CSV with a header and NA for missing. Blank text stays blank; blank numbers are NULL.
 
     The header must agree with a given schema. Types are inferred only when no schema is given,
-    which costs a pass over the files. Cells with line breaks need ``line_breaks=True``, which
-    reads each file in one task.
+    which costs a pass over the files. Cells may hold line breaks, so a file is read by one task,
+    and writers should write many. ``line_breaks=False`` splits large files over tasks; a record
+    that a line break cuts, or of another length than the header, then fails the job. ``line_sep`` is
+    what ends a row.
     """
-    reader = spark.read.options(**_DIALECT, multiLine=line_breaks)
+    options = {**_DIALECT, "multiLine": line_breaks, "lineSep": line_sep, "mode": "FAILFAST"}
+    reader = spark.read.options(**options)
     if schema is None:
-        inferred = spark.read.options(**_DIALECT, multiLine=line_breaks, nullValue=NA)
+        inferred = spark.read.options(**options, nullValue=NA)
         schema = inferred.csv(path, inferSchema=True).schema
     as_text = StructType([StructField(f.name, StringType()) for f in schema.fields])
     cells = reader.option("enforceSchema", False).schema(as_text).csv(path)

@@ -8,29 +8,32 @@ columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators.headers import unique_by_position
-
-MAX_BROADCAST_FILES = 100_000
+from rollbook.sources.workspace import new_path
 
 
 def land_sheets(spark: SparkSession, path: str, width: int, out: str) -> DataFrame:
-    """Copy sheets of at most ``width`` columns to a parquet table at ``out``, all as text."""
+    """Copy sheets of at most ``width`` columns to a parquet table at ``out``, all as text.
+
+    A record with more cells, blank ones included, fails the job wherever its extra cells lie: no
+    cell is left out.
+    """
     cells = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in [*cells, "beyond"])
     (
-        spark.read.schema(schema)
-        .options(header=False, multiLine=True, quote='"', escape='"')
-        .options(ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        spark.read.schema(", ".join(f"{c} string" for c in cells))
+        .options(header=False, multiLine=True, quote='"', escape='"', maxColumns=width)
+        # The end of a row is given: a line break inside the first cells must not be taken for it.
+        # The carriage return before it, if any, goes with the white space.
+        .options(ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, lineSep="\n")
         .csv(path)
         .select(
             *cells,
-            "beyond",
             F.col("_metadata.file_path").alias("source_file"),
             F.monotonically_increasing_id().alias("row_id"),
         )
@@ -40,17 +43,9 @@ def land_sheets(spark: SparkSession, path: str, width: int, out: str) -> DataFra
     return spark.read.parquet(out)
 
 
-def _header_ids(
-    landed: DataFrame, skip: int | None, anchor: str | None, cells: Sequence[str]
-) -> DataFrame:
-    """(source_file, header_id): the row id of each file's header."""
-    if anchor is None:
-        first = landed.groupBy("source_file").agg(F.min("row_id").alias("first_id"))
-        return first.select("source_file", (F.col("first_id") + skip).alias("header_id"))
-    has_anchor = reduce(Column.__or__, [F.col(c).eqNullSafe(anchor) for c in cells])
-    return (
-        landed.filter(has_anchor).groupBy("source_file").agg(F.min("row_id").alias("header_id"))
-    )
+def _plain(text: Column) -> Column:
+    """Header text for comparison: lower case, one underscore for all that is no letter or digit."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None = None) -> DataFrame:
@@ -59,45 +54,66 @@ def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None =
     ``row_in_sheet`` counts from the header of each file; ``row_id`` orders all landed rows and is
     unique among them.
 
-    The header is the row after ``skip`` non-blank rows, or the first row that has a cell equal to
-    ``anchor``. All files opened together must share one header; blank or repeated headers get
-    their position appended. Cells are trimmed, and blank ones are NULL. Columns beyond the last
-    header cell must be empty.
-    """
-    if (skip is None) == (anchor is None):
-        raise ValueError("give either skip or anchor")
-    cells = [c for c in landed.columns if c not in ("beyond", "source_file", "row_id")]
-    n_files = landed.select("source_file").distinct().count()
+    The header is the first row that has a cell equal to ``anchor``, but for case and marks. With
+    ``skip`` as well, a header below more than ``skip`` rows is refused; blank rows are not landed,
+    so fewer are fine. With ``skip`` alone, the header is the row after so many landed rows. All
+    files opened together must share one header; blank or repeated headers get their position
+    appended. Cells are trimmed, and blank ones are NULL. Columns beyond the last header cell must
+    be empty.
 
-    def placed(anchor_cells: Sequence[str]) -> DataFrame:
-        headers = _header_ids(landed, skip, anchor, anchor_cells)
-        if n_files <= MAX_BROADCAST_FILES:
-            headers = F.broadcast(headers)
-        return landed.join(headers, "source_file")
+    One pass finds the headers of all files, whose table has a row a file and is written down.
+    """
+    if skip is None and anchor is None:
+        raise ValueError("give skip or anchor")
+    cells = [c for c in landed.columns if c not in ("source_file", "row_id")]
+    row = F.struct("row_id", F.array(*cells).alias("names"))
+    if anchor is None:
+        first = F.min("row_id").alias("first_id")
+        starts = landed.groupBy("source_file").agg(first)
+        at = landed.join(starts, "source_file")
+        header = F.min(F.when(F.col("row_id") == F.col("first_id") + skip, row))
+    else:
+        wanted = re.sub("[^a-z0-9]+", "_", anchor.lower()).strip("_")
+        has_anchor = reduce(Column.__or__, [_plain(F.col(c)).eqNullSafe(wanted) for c in cells])
+        at = landed
+        header = F.min(F.when(has_anchor, row))
+    found = at.groupBy("source_file").agg(header.alias("header"), F.min("row_id").alias("first_id"))
+    found = found.select(
+        "source_file",
+        F.col("header.row_id").alias("header_id"),
+        F.col("header.names").alias("names"),
+        "first_id",
+    )
+    path = new_path(landed.sparkSession, "sheet-headers")
+    found.write.parquet(path)
+    headers = landed.sparkSession.read.schema(found.schema).parquet(path)
 
     # One header in common means that the least and the greatest header row are the same.
-    row = F.array(*cells)
-    found = (
-        placed(cells)
-        .filter(F.col("row_id") == F.col("header_id"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("names"), F.max(row).alias("other"))
-        .first()
-    )
-    if found["n"] < n_files:
+    total = headers.agg(
+        F.count_if(F.col("header_id").isNull()).alias("without"),
+        F.min("names").alias("names"),
+        F.max("names").alias("other"),
+        F.max(F.col("header_id") - F.col("first_id")).alias("above"),
+    ).first()
+    if total["without"] or total["names"] is None:
         raise ValueError("some sheets have no header row")
-    if found["names"] != found["other"]:
+    if total["names"] != total["other"]:
         raise ValueError("the sheets have no header row in common")
-    names = found["names"]
+    if anchor is not None and skip is not None and total["above"] > skip:
+        raise ValueError(f"{total['above']} rows above the header; at most {skip} are expected")
+    names = total["names"]
     last = max(i for i, name in enumerate(names) if name is not None)
-    used, unused = cells[: last + 1], [*cells[last + 1 :], "beyond"]
+    used, unused = cells[: last + 1], cells[last + 1 :]
 
-    # The header is known now, so its place in each file needs one column instead of all.
-    body = placed(cells if anchor is None else [cells[names.index(anchor)]])
-    stray = reduce(Column.__or__, [F.col(c) != "" for c in unused])
+    body = landed.join(headers.select("source_file", "header_id"), "source_file")
     below = F.col("row_id") > F.col("header_id")
-    refuse = F.raise_error(F.lit("a sheet has cells to the right of its header")).cast("boolean")
+    kept = below
+    if unused:
+        stray = reduce(Column.__or__, [F.coalesce(F.trim(c) != "", F.lit(False)) for c in unused])
+        refuse = F.raise_error(F.lit("a sheet has cells to the right of its header"))
+        kept = F.when(below & stray, refuse.cast("boolean")).otherwise(below)
     cell = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return body.filter(F.when(below & stray, refuse).otherwise(below)).select(
+    return body.filter(kept).select(
         *[cell(c).alias(n) for c, n in zip(used, unique_by_position(names[: last + 1]))],
         "source_file",
         (F.col("row_id") - F.col("header_id")).alias("row_in_sheet"),

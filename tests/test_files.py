@@ -26,7 +26,7 @@ def sheet_folder(tmp_path):
     return folder
 
 
-@pytest.mark.parametrize("find", [{"skip": 2}, {"anchor": "KP_Type"}])
+@pytest.mark.parametrize("find", [{"skip": 2}, {"anchor": "KP_Type"}, {"anchor": "kp type", "skip": 5}])
 def test_sheets_land_as_text(spark, tmp_path, sheet_folder, find):
     landed = sheets.land_sheets(spark, sheet_folder, width=8, out=str(tmp_path / "landed"))
     opened = sheets.open_sheets(landed, **find)
@@ -56,7 +56,36 @@ def test_sheets_without_a_header_are_refused(spark, tmp_path, sheet_folder):
         sheets.open_sheets(landed, anchor="KP_Type")
 
 
-@pytest.mark.parametrize("width", [5, 8])
+@pytest.mark.parametrize("extra", [1, 2, 5])
+@pytest.mark.parametrize("filler", ["", "x"])
+def test_no_cell_is_lost_beyond_the_width(spark, tmp_path, extra, filler):
+    os.makedirs(tmp_path / "wide")
+    line = ",".join(["3", "4", *[filler] * (extra - 1), "LOST"])
+    (tmp_path / "wide" / "a.csv").write_text(f"A,B\n1,2\n{line}\n")
+    with pytest.raises(Exception):
+        sheets.land_sheets(spark, str(tmp_path / "wide"), width=2, out=str(tmp_path / "landed"))
+
+
+def test_blank_lines_above_the_header(spark, tmp_path):
+    os.makedirs(tmp_path / "s")
+    (tmp_path / "s" / "a.csv").write_text("Title\n\n\nKP Type,No\nFSW,1\nMSM,2\n")
+    landed = sheets.land_sheets(spark, str(tmp_path / "s"), width=3, out=str(tmp_path / "landed"))
+    opened = sheets.open_sheets(landed, skip=3, anchor="KP Type")
+    assert sorted(r["No"] for r in opened.collect()) == ["1", "2"]
+    with pytest.raises(ValueError, match="above the header"):
+        sheets.open_sheets(landed, skip=0, anchor="KP Type")
+
+
+def test_rows_that_end_in_both_ways(spark, tmp_path):
+    """A header with a line break as its first row, and rows that end in CR LF."""
+    os.makedirs(tmp_path / "s")
+    (tmp_path / "s" / "a.csv").write_bytes(b'"KP\r\nType",No\r\nFSW,"1"\r\nMSM,2\r\n')
+    landed = sheets.land_sheets(spark, str(tmp_path / "s"), width=2, out=str(tmp_path / "landed"))
+    got = sheets.open_sheets(landed, anchor="KP Type").select("No").collect()
+    assert sorted(r["No"] for r in got) == ["1", "2"]
+
+
+@pytest.mark.parametrize("width", [6, 8])
 def test_cells_beyond_the_header_are_refused(spark, tmp_path, sheet_folder, width):
     write(sheet_folder, "c", "4,TG,,,,stray\n")
     landed = sheets.land_sheets(spark, sheet_folder, width=width, out=str(tmp_path / "landed"))
@@ -67,7 +96,7 @@ def test_cells_beyond_the_header_are_refused(spark, tmp_path, sheet_folder, widt
 
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
-        [(1, None, "", "x"), (None, 2.5, 'a "b", c', None)], "i int, d double, s string, t string"
+        [(1, None, "", "x\ny"), (None, 2.5, 'a "b", c', None), (3, 0.5, "NA?", "\r\n")], "i int, d double, s string, t string"
     )
     path = str(tmp_path / "csv")
     files.write_csv(df, path, compress=True)
@@ -82,6 +111,15 @@ def test_csv_round_trip(spark, tmp_path):
     assert files.read_csv(spark, path).dtypes == df.dtypes
 
 
+def test_a_cut_record_fails_when_files_are_split(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b\nc")], "i int, s string")
+    path = str(tmp_path / "csv")
+    files.write_csv(df, path)
+    assert sorted(map(tuple, files.read_csv(spark, path, df.schema).collect())) == [(1, "a"), (2, "b\nc")]
+    with pytest.raises(Exception):
+        files.read_csv(spark, path, df.schema, line_breaks=False).collect()
+
+
 def test_foreign_csv_blanks(spark, tmp_path):
     (tmp_path / "f.csv").write_text("n,s\n1,a\nNA,\n,NA\n")
     got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "f.csv")).collect()]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import blocks, dupes, hygiene, indicators, tables
 from rollbook.plans import registers
-from rollbook.plans.consolidate import RegionalSource, consolidate
+from rollbook.plans.consolidate import RegionalSource, align, consolidate
 from rollbook.plans.extracts import tracker_extract
+from rollbook.plans.indicators import indicator_report
 from rollbook.plans.repair import repair_values
 from rollbook.sources.sheets import land_sheets
 from workload.register import REGIONS, register
@@ -40,6 +41,41 @@ def test_consolidate_aligns_by_position(spark):
     assert sorted(map(tuple, got.collect())) == [("x", "1", 1, 2), ("y", "3", 2, 7)]
 
 
+def test_columns_never_shift(spark):
+    """Two regions with the same headers and different empty columns keep their cells in place."""
+    columns = "n int, kp_type string, yob string, remarks string, empty string"
+    a = spark.createDataFrame([(1, "x", "1990", None, None)], columns)
+    b = spark.createDataFrame([(1, "y", None, "ok", None), (2, "z", None, "fine", None)], columns)
+    got = consolidate([RegionalSource("A", a, "n"), RegionalSource("B", b, "n")])
+    assert got.columns == ["kp_type", "yob", "remarks", "source_rank", "row_in_source"]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [
+        ("x", "1990", None), ("y", None, "ok"), ("z", None, "fine"),
+    ]
+
+
+def test_alignment():
+    assert align(["a", "q", "c"], ["a", "b", "c"]) == {"a": "a", "b": "q", "c": "c"}
+    assert align(["c", "b", "a"], ["a", "b", "c"]) == {"a": "a", "b": "b", "c": "c"}
+    assert align(["a", "c"], ["a", "b", "c"], layout_empty=["b"]) == {"a": "a", "c": "c"}
+    assert align(["a", "e", "c"], ["a", "c"], empty=["e"]) == {"a": "a", "c": "c"}
+    with pytest.raises(ValueError, match="cannot take"):
+        align(["a", "c", "q"], ["a", "b", "c"])
+
+
+def test_statuses_count_the_same_in_any_case(spark):
+    rows = [("COR", "Known Positive", "known positive"), ("COR", "KNOWN POSITIVE", "x"), ("COR", None, "Negative")]
+    df = spark.createDataFrame(rows, "region string, hiv_status51 string, hiv_status104 string")
+    df = df.selectExpr(
+        "*", *[f"CAST(NULL AS STRING) AS {c}" for c in (
+            "county", "sr_name", "kp_type", "kp_unique_identifier", "kp_name", "sex", "hiv_status_at_enrollment",
+            "date_of_next_appointment", "screened_for_stis61", "received_peer_education22",
+            "provided_with_risk_reduction_couselling68", "condoms_distributed_nmbr46",
+        )]
+    )
+    counted = indicator_report(repair_values(df)).first()
+    assert (counted.hiv_status51_known_positive, counted.hiv_status104_known_positive) == (2, 1)
+
+
 def test_consolidate_refuses_another_column_count(spark):
     a = spark.createDataFrame([(1, "x", "y")], "n int, t string, u string")
     sources = [RegionalSource("A", a, "n"), RegionalSource("B", a.drop("u"), "n")]

@@ -118,13 +118,20 @@ def test_percent_ties_go_to_the_even_digit(spark):
     assert got == ["0.12% (1)", "0.38% (3)"]
 
 
+def test_unlisted_levels_are_counted(spark):
+    df = spark.createDataFrame([("a", "A"), ("a", "Z"), ("a", None), ("b", "Z")], "r string, c string")
+    assert [tuple(r) for r in tables.two_way(df, "r", "c", ["A"]).collect()] == [("a", 1, 2), ("b", 0, 1)]
+    for row in tables.two_way_totals(df, "r", "c", ["A", None]).collect():
+        assert row["A"] + row["NA_"] + row["other_levels"] == row["total"]
+
+
 def test_totals_are_not_confused_with_missing(spark):
     df = spark.createDataFrame([("a", "x"), (None, "x"), (None, None)], "r string, c string")
     got = [tuple(r) for r in tables.two_way_totals(df, "r", "c", ["x", "y"]).collect()]
-    assert got == [("a", 1, 0, 1, 0), (None, 1, 0, 2, 0), ("Total", 2, 0, 3, 1)]
+    assert got == [("a", 1, 0, 0, 1, 0), (None, 1, 0, 1, 2, 0), ("Total", 2, 0, 1, 3, 1)]
     wide = tables.two_way(df, "r", "c", ["x", None])
-    assert wide.columns == ["r", "x", "NA_"]
-    assert [tuple(r) for r in wide.collect()] == [("a", 1, 0), (None, 1, 1)]
+    assert wide.columns == ["r", "x", "NA_", "other_levels"]
+    assert [tuple(r) for r in wide.collect()] == [("a", 1, 0, 0), (None, 1, 1, 0)]
     cube = {(r.r_level, r.c_level, r.margin): r.n for r in tables.two_way_cube(df, "r", "c").collect()}
     assert cube[(None, None, 0)] == 1 and cube[("Total", "Total", 3)] == 3
     assert cube[("Total", None, 2)] == 1 and cube[(None, "Total", 1)] == 2

@@ -51,10 +51,11 @@ def test_first_row_by_two_order_columns(spark):
     assert got == {("a", 1, 3), (None, 1, 1)}
 
 
-@pytest.mark.parametrize("hot_rows", [dupes.HOT_ROWS, 100, 1])
-def test_get_dupes_with_and_without_hot_keys(skewed, hot_rows, monkeypatch):
+@pytest.mark.parametrize("salts", [dupes.SALTS, 1])
+def test_get_dupes_with_hot_keys(skewed, salts, monkeypatch):
+    monkeypatch.setattr(dupes, "SALTS", salts)
     groups = brute(skewed)
-    got = dupes.get_dupes(skewed, ["k"], ["id"], hot_rows=hot_rows)
+    got = dupes.get_dupes(skewed, ["k"], ["id"])
     assert got.columns == ["k", "dupe_count", "id", "payload"]
     want = [(k, len(g), r[0], r[2]) for k, g in groups.items() if len(g) > 1 for r in g]
     want.sort(key=lambda r: (-r[1], r[0] is not None, r[0] or "", r[2]))
@@ -67,7 +68,7 @@ def test_hot_keys_are_split_when_nothing_can_be_broadcast_at_run_time(skewed, sp
     for key in keys:
         spark.conf.set(key, "-1")
     try:
-        got = dupes.get_dupes(skewed, ["k"], ["id"], hot_rows=100)
+        got = dupes.get_dupes(skewed, ["k"], ["id"])
         n = sum(len(g) for g in brute(skewed).values() if len(g) > 1)
         assert got.count() == n
         plan = got._jdf.queryExecution().executedPlan().toString()
@@ -81,13 +82,30 @@ def test_hot_key_rows_spread_over_partitions(skewed, spark):
     """No output partition of the sorted result holds the hot key alone."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = dupes.get_dupes(skewed, ["k"], ["id"], hot_rows=100)
+        got = dupes.get_dupes(skewed, ["k"], ["id"])
         per_task = got.filter(F.col("k") == "hot").groupBy(F.spark_partition_id()).count().collect()
         assert len(per_task) > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_the_first_row_is_one_row(spark):
+    """Rows that tie give one first row; a missing order value comes first."""
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 1, "w"), ("a", 2, "v"), ("b", None, "y"), ("b", 3, "z"), (None, None, None)],
+        "`k.1` string, o int, v string",
+    )
+    first = dupes.first_rows(df, ["k.1"], ["o"])
+    assert first.columns == df.columns
+    assert {tuple(r) for r in first.collect()} == {("a", 1, "w"), ("b", None, "y"), (None, None, None)}
+    later = dupes.later_rows(df.filter("v is null or v <> 'x'"), ["k.1"], ["o"])
+    assert sorted(tuple(r) for r in later.collect()) == [("a", 2, "v"), ("b", 3, "z")]
+    with pytest.raises(Exception, match="do not tell"):
+        dupes.later_rows(df, ["k.1"], ["o"]).collect()
+    found = dupes.get_dupes(df, ["k.1"], ["o", "v"])
+    assert [r["dupe_count"] for r in found.collect()] == [3, 3, 3, 2, 2]
+
+
 def test_composite_key(spark):
     df = spark.createDataFrame(
         [(1, "a", None), (2, "a", None), (3, "a", "x"), (4, None, "a")], "id int, n string, k string"

@@ -45,8 +45,16 @@ def test_excel_dates(spark):
 
 
 def test_text_dates(spark):
-    got = column(spark, ["2023-02-01", "2023/02/01", "01.02.2023", None], fn.text_date)
-    assert got == [datetime.date(2023, 2, 1)] * 2 + [None, None]
+    texts = ["2023-02-01", "2023/02/01", "01.02.2023", "1/2/2023", "01-02-2023", "01 Feb 2023", "1  february 2023"]
+    assert column(spark, texts, fn.text_date) == [datetime.date(2023, 2, 1)] * len(texts)
+    assert column(spark, ["TBD", "32/01/2023", "01/13/2023", "", None], fn.text_date) == [None] * 5
+
+
+def test_date_cells_are_serials_or_text(spark):
+    cells = ["45413", "2024-05-01", "01/05/2024", "01 May 2018", "soon", " ", None]
+    day = datetime.date(2024, 5, 1)
+    assert column(spark, cells, fn.cell_date) == [day, day, day, datetime.date(2018, 5, 1), None, None, None]
+    assert column(spark, cells, fn.is_unread_date) == [False] * 4 + [True, False, False]
 
 
 def test_paste_writes_na(spark):

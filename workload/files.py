@@ -70,6 +70,27 @@ def src_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, df.schema)
 
 
+_BROKEN = "kp_type || chr(10) || 'a \"b\", c' || chr(13) || chr(10) || county"
+_CELLS = {
+    "kp_name": f"CASE WHEN sno % 3 = 0 THEN {_BROKEN} ELSE kp_name END",
+    "peer_educator": "CASE WHEN sno % 5 = 0 THEN '' ELSE peer_educator END",
+}
+
+
+@query(
+    "SELECT "
+    + ", ".join(f"{_CELLS.get(c, c)} AS {c}" for c in ID_COLUMNS)
+    + " FROM register"
+)
+def src_csv_roundtrip_line_breaks(spark, sf_dir):
+    """Cells with line breaks, quotes, commas, blanks and missing values."""
+    df = register(spark, sf_dir).select(*ID_COLUMNS)
+    df = df.withColumns({c: F.expr(text) for c, text in _CELLS.items()})
+    path = new_path(spark, "csv")
+    files.write_csv(df, path)
+    return files.read_csv(spark, path, df.schema)
+
+
 @query(f"SELECT {names(*SHEET_COLUMNS)}, '24-05-21' AS run_date FROM register")
 def sink_snapshot(spark, sf_dir):
     df = register(spark, sf_dir).select(*SHEET_COLUMNS)

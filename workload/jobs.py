@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rollbook.operators import headers
+from rollbook.operators.columns import NEEDLE_DASHBOARD_PREFIXES, starts_with
 from rollbook.plans.consolidate import RegionalSource, consolidate
 from rollbook.plans.extracts import dashboard_extract, tracker_extract
 from rollbook.plans.indicators import (
@@ -14,8 +17,9 @@ from rollbook.plans.indicators import (
     package_report,
 )
 from rollbook.plans.quality import MAX_AGE, quality_report
-from rollbook.plans.registers import TG, consolidate_sheets
-from rollbook.plans.repair import repair_values
+from rollbook.plans.registers import FSW, MSM, PWID, TG, consolidate_sheets
+from rollbook.plans.repair import DATE_PREFIX, repair_values, unread_dates
+from rollbook.sources.files import load_snapshot, save_snapshot
 from rollbook.sources.sheets import land_sheets
 from rollbook.sources.workspace import new_path
 from workload.catalog import (
@@ -71,6 +75,33 @@ def job_consolidate(spark, sf_dir):
     return consolidate(list(_regional_sources(spark, sf_dir)), key="kp_type")
 
 
+_SPARSE = {"COR": "kp_name", "LER": "yob", "WKR": "county"}
+
+
+def _without(region: str, column: str) -> str:
+    return f"CASE WHEN region = '{region}' THEN NULL ELSE {column} END"
+
+
+@query(
+    "SELECT "
+    + ", ".join(
+        next((f"{_without(r, c)} AS {c}" for r, empty in _SPARSE.items() if empty == c), c)
+        for c in _CONTENT
+    )
+    + f", {_RANK} AS source_rank, sno AS row_in_source FROM register WHERE kp_type <> ''"
+)
+def job_consolidate_sparse(spark, sf_dir):
+    """Three regions with an empty column each, every time another one."""
+    sources = []
+    for source in _regional_sources(spark, sf_dir):
+        if source.name in _SPARSE:
+            raw = source.frame.columns[SHEET_COLUMNS.index(_SPARSE[source.name])]
+            emptied = source.frame.withColumn(raw, F.lit(None).cast(source.frame.schema[raw].dataType))
+            source = replace(source, frame=emptied)
+        sources.append(source)
+    return consolidate(sources, key="kp_type")
+
+
 _TG_RANK = "CASE region " + " ".join(
     f"WHEN '{sheet.region}' THEN {i}" for i, sheet in enumerate(TG.sheets, 1)
 ) + " END"
@@ -128,6 +159,133 @@ def job_repair_values(spark, sf_dir):
     return repair_values(df.withColumns({c: F.expr(text) for c, text in exchanged.items()}))
 
 
+# ---- from sheets to indicators ----------------------------------------------------------------
+
+_SERIAL_MONTHS = ("73", "126")
+_CHAIN = [
+    "kp_type", "kp_unique_identifier", "region", "county", "sr_name", "kp_name", "sex",
+    "hiv_status_at_enrollment", *months(PEER), *months(STI), *months(RISK), *months(CONDOMS),
+    *months(NEEDLES), *[c for c in COLUMNS if c.startswith("hiv_status") and c[-1].isdigit()],
+]
+_CHAIN_HEADERS = {
+    "kp_unique_identifier": "KP Unique Identifier\r\n(SR/Client Initials/Typology/Hotspot/PE Code/Client No)",
+    **{
+        f"next{m}": f"Date of Next Appointment\r\ndd-mm-yyyy (e.g. 02 May 2018){m}"
+        for m in _SERIAL_MONTHS
+    },
+}
+_HALF = {"COR": "region = 'COR' AND sno % 2 = 1", "NER": "region = 'COR' AND sno % 2 = 0"}
+
+
+def _chain_frame(spark, sf_dir):
+    """The register as regions send it: columns exchanged, statuses capitalised, dates in three ways."""
+    df = register(spark, sf_dir)
+    number_ = F.col("date_of_next_appointment").try_cast("int")
+    day = F.date_add(F.lit("1899-12-30").cast("date"), number_)
+    cell = (
+        F.when(number_.isNull(), F.col("date_of_next_appointment"))
+        .when(F.col("sno") % 3 == 0, number_.cast("string"))
+        .when(F.col("sno") % 3 == 1, F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.date_format(day, "dd/MM/yyyy"))
+    )
+    exchanged = {
+        "county": "CASE WHEN region IN ('LER', 'UER') THEN sr_name ELSE county END",
+        "sr_name": "CASE WHEN region IN ('LER', 'UER') THEN county ELSE sr_name END",
+        "kp_type": "CASE WHEN region = 'WKR' THEN kp_unique_identifier ELSE kp_type END",
+        "kp_unique_identifier": "CASE WHEN region = 'WKR' THEN kp_type ELSE kp_unique_identifier END",
+    }
+    status = [c for c in _CHAIN if c.startswith("hiv_status") and c[-1].isdigit()]
+    return df.withColumns({c: F.expr(text) for c, text in exchanged.items()}).withColumns(
+        {**{c: F.initcap(c) for c in status}, **{f"next{m}": cell for m in _SERIAL_MONTHS}}
+    )
+
+
+def _chain(register_, spark, sf_dir):
+    """Sheets of every region, landed, consolidated, repaired and counted."""
+    df, landed = _chain_frame(spark, sf_dir), {}
+    regions = {sheet.region for sheet in register_.sheets}
+    for sheet in register_.sheets:
+        where = _HALF.get(sheet.region) if "NER" in regions else None
+        own = df.filter(where or F.col("region") == sheet.region)
+        if sheet.keep_first:  # one row a client, so that the first is the only one
+            client = F.concat_ws("_", F.coalesce("kp_unique_identifier", F.lit("00")), "sno")
+            own = own.withColumn("kp_unique_identifier", client)
+        own = own.select(*_CHAIN, *[f"next{m}" for m in _SERIAL_MONTHS], F.lit("x").alias("a"))
+        own = own if "a" in sheet.drop else own.drop("a")
+        head = [_CHAIN_HEADERS.get(c, c.replace("_", " ").capitalize()) for c in own.columns]
+        if sheet.region == "WKR":
+            head[head.index("Sex")] = "Gender"
+        source = new_path(spark, f"chain-{sheet.region}")
+        write_sheets(own, source, [f"Title {i}" for i in range(sheet.preamble)], head)
+        landed[sheet.region] = land_sheets(
+            spark, source, len(head), new_path(spark, f"chain-landed-{sheet.region}")
+        )
+    snapshot = new_path(spark, "chain-snapshot")
+    save_snapshot(repair_values(consolidate_sheets(register_, landed)), snapshot)
+    repaired = load_snapshot(spark, snapshot)
+    dates = starts_with(repaired, DATE_PREFIX)
+    read = repaired.groupBy("region").agg(
+        *[F.count(f"`{c}`").alias(f"dates{m}") for c, m in zip(dates, _SERIAL_MONTHS)],
+        F.max(f"`{dates[0]}`").alias("last_date"),
+    )
+    return indicator_report(repaired).join(read, "region")
+
+
+_CHAIN_COUNTS = {
+    "sti_any": any_yes(STI),
+    "peer_any": any_yes(PEER),
+    "risk_any": any_yes(RISK),
+    "condoms_any": any_positive(CONDOMS),
+    "package_any_month": PACKAGE_ANY,
+    "package_same_month": PACKAGE_SAME,
+    "package_from_flags": PACKAGE_FLAGS,
+    "aligned_any": f"{ALIGNED_MONTHS} >= 1",
+    **{f"{c}_yes": f"{c} = 'Yes'" for s in (PEER, RISK, STI) for c in months(s)},
+    **{
+        f"{c}_known_positive": f"{'lower(' + c + ')' if c[-1].isdigit() else c} = 'known positive'"
+        for c in _CHAIN if c.startswith("hiv_status")
+    },
+    **{f"{c}_positive": f"{number(c)} > 0" for s in (CONDOMS, NEEDLES) for c in months(s)},
+    **{f"dates{m}": f"{number('date_of_next_appointment')} IS NOT NULL" for m in _SERIAL_MONTHS},
+}
+CHAIN_SQL = (
+    "SELECT region, count(*) AS clients, "
+    + ", ".join(f"{count_where(text)} AS {name}" for name, text in _CHAIN_COUNTS.items())
+    + f", max(DATE '1899-12-30' + CAST({number('date_of_next_appointment')} AS INT)) AS last_date "
+    "FROM register WHERE CASE WHEN region = 'WKR' THEN coalesce(kp_unique_identifier, '') "
+    "ELSE coalesce(kp_type, '') END <> '' GROUP BY region"
+)
+
+
+@query(CHAIN_SQL)
+def job_chain_msm(spark, sf_dir):
+    return _chain(MSM, spark, sf_dir)
+
+
+@query(CHAIN_SQL)
+def job_chain_fsw(spark, sf_dir):
+    return _chain(FSW, spark, sf_dir)
+
+
+@query(CHAIN_SQL)
+def job_chain_pwid(spark, sf_dir):
+    return _chain(PWID, spark, sf_dir)
+
+
+@query(CHAIN_SQL)
+def job_chain_tg(spark, sf_dir):
+    return _chain(TG, spark, sf_dir)
+
+
+@query(
+    "SELECT 'date_of_next_appointment' AS variable, "
+    + count_where(f"date_of_next_appointment <> '' AND {_SERIAL} IS NULL")
+    + " AS n_unread FROM register"
+)
+def job_unread_dates(spark, sf_dir):
+    return unread_dates(register(spark, sf_dir), ["date_of_next_appointment"])
+
+
 # ---- quality ----------------------------------------------------------------------------------
 
 
@@ -233,6 +391,17 @@ def job_dashboard_extract(spark, sf_dir):
     return dashboard_extract(df, headers.EXPORT_RENAMES, path=new_path(spark, "dashboard"))
 
 
+_NEEDLE_DASHBOARD = [c for c in COLUMNS if c.startswith(NEEDLE_DASHBOARD_PREFIXES)]
+
+
+@query(f"SELECT {names(*_NEEDLE_DASHBOARD)} FROM register WHERE kp_type <> ''")
+def job_dashboard_extract_needles(spark, sf_dir):
+    raw = [_EXPORT_HEADERS.get(c, c.replace("_", " ").capitalize()) for c in COLUMNS]
+    df = register(spark, sf_dir).toDF(*raw)
+    path = new_path(spark, "dashboard")
+    return dashboard_extract(df, headers.EXPORT_RENAMES, prefixes=NEEDLE_DASHBOARD_PREFIXES, path=path)
+
+
 _TRACKER = {
     "region": "Region",
     "date_of_first_contact": "Start-Date:",

@@ -44,7 +44,17 @@ def freq_one_way_pct(spark, sf_dir):
     return tables.one_way_percent(register(spark, sf_dir), "sr_name").drop("label")
 
 
-_CELLS = ", ".join(f"count(*) FILTER (WHERE region = '{r}') AS \"{r}\"" for r in REGIONS)
+def _cells(column: str, values) -> str:
+    listed = [
+        (f"{column} IS NULL", "NA_") if v is None else (f"{column} = '{v}'", v) for v in values
+    ]
+    other = " AND ".join(f"({test}) IS NOT TRUE" for test, _ in listed)
+    listed.append((other, "other_levels"))
+    return ", ".join(f'count(*) FILTER (WHERE {test}) AS "{name}"' for test, name in listed)
+
+
+_CELLS = _cells("region", REGIONS)
+SEXES = ("Male", "Female", None)  # the fourth level is not listed
 
 
 @query(f"SELECT county, {_CELLS} FROM register GROUP BY county")
@@ -61,6 +71,20 @@ def freq_two_way_totals(spark, sf_dir):
     return tables.two_way_totals(register(spark, sf_dir), "county", "region", REGIONS)
 
 
+@query(f"SELECT county, {_cells('sex', SEXES)} FROM register GROUP BY county")
+def freq_two_way_unlisted(spark, sf_dir):
+    return tables.two_way(register(spark, sf_dir), "county", "sex", SEXES)
+
+
+@query(
+    "SELECT CASE WHEN grouping(county) = 1 THEN 'Total' ELSE county END AS county, "
+    f"{_cells('sex', SEXES)}, count(*) AS total, CAST(grouping(county) AS INT) AS is_total "
+    "FROM register GROUP BY ROLLUP (county)"
+)
+def freq_two_way_totals_unlisted(spark, sf_dir):
+    return tables.two_way_totals(register(spark, sf_dir), "county", "sex", SEXES)
+
+
 @query(
     "SELECT CASE WHEN grouping(sex) = 1 THEN 'Total' ELSE sex END AS sex_level, "
     "CASE WHEN grouping(region) = 1 THEN 'Total' ELSE region END AS region_level, "
