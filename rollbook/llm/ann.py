@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import settle, small_batches, starts_of, whole_groups
+from rollbook.llm.shared import partitions, settle, small_batches, starts_of, whole_groups
 from rollbook.llm.vectors import matrix, same_key, sample_vectors, unit, usable
 
 SAMPLE = 20_000  # vectors the centroids are fitted on; bounds what the driver holds
@@ -239,7 +239,7 @@ def _search(ask: DataFrame, member: DataFrame, sizes: DataFrame, k: int) -> Data
         "node", "small", "vector", "_list", F.pmod(F.hash("node"), "_blocks").alias("_block"), F.lit(False).alias("_asks")
     )
     keys = ["_list", "_block"]
-    dealt = ask.unionByName(held).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = ask.unionByName(held).repartition(partitions(ask.sparkSession), *keys).sortWithinPartitions(*keys)
     best = dealt.mapInPandas(lambda f: _best(f, k + 1), "query long, node long, small long, score double")
     best = best.groupBy("query", "node").agg(F.max("score").alias("score"), F.min("small").alias("small"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "small")

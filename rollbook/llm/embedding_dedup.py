@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.components import components, local_forest
-from rollbook.llm.shared import settle, small_batches, split_hot, starts_of, whole_groups
+from rollbook.llm.shared import partitions, settle, small_batches, split_hot, starts_of, whole_groups
 from rollbook.llm.vectors import matrix, same_key, sample_vectors, unit, usable
 
 SAMPLE = 8192  # vectors from which pivots are chosen; bounds what the driver holds
@@ -156,7 +156,7 @@ def near_vectors(
     posted = posted.withColumnRenamed("_pos", "rank")
     keys = ["_label", "_pivot", "_i", "_j"]
     posted = split_hot(settle(posted, "postings"), ["_label", "_pivot"], F.col("node"), BLOCK)
-    dealt = posted.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = posted.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
     found = settle(
         dealt.mapInPandas(lambda f: _verified(f, cosine, shared, pivots, probes), "a long, b long, n long"), "links"
     )

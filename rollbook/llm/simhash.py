@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.components import components, local_forest
-from rollbook.llm.shared import settle, small_batches, split_hot, starts_of, whole_groups
+from rollbook.llm.shared import partitions, settle, small_batches, split_hot, starts_of, whole_groups
 
 BITS = 64
 BLOCK = 8192
@@ -166,7 +166,7 @@ def links(prints: DataFrame, radius: int = 3, bands: int | None = None, block: i
     )
     rows = split_hot(rows, ["_table", "_key"], F.col("fingerprint"), block)
     keys = ["_table", "_key", "_i", "_j"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(lambda frames: _links(frames, radius), "a long, b long")
 
 

@@ -331,7 +331,7 @@ def read_tokens(blocks: DataFrame, table: str) -> DataFrame:
     files = blocks.groupBy("part").agg(F.sum("n").alias("n"))  # a row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = settle(files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "files")
-    dealt = blocks.repartition("path", F.floor(F.col("block") / 8)).sortWithinPartitions("path", "block")
+    dealt = blocks.repartition(partitions(blocks.sparkSession), "path", F.floor(F.col("block") / 8)).sortWithinPartitions("path", "block")
     docs = dealt.mapInPandas(
         lambda f: _read(f, table), "key long, part int, local_start long, ids binary"
     )

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import open_store, settle, small_batches, write_file
+from rollbook.llm.shared import open_store, partitions, settle, small_batches, write_file
 from rollbook.sources.workspace import new_path
 
 # Fixed values of the seekable format: skippable frame, footer of the seek table, descriptor.
@@ -229,7 +229,7 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     A revisit's payload is null. Every response's payload is held against its digest.
     """
-    dealt = index.repartition("path", F.floor(F.col("frame") / 64)).sortWithinPartitions("path", "frame", "offset")
+    dealt = index.repartition(partitions(index.sparkSession), "path", F.floor(F.col("frame") / 64)).sortWithinPartitions("path", "frame", "offset")
     return dealt.mapInPandas(
         _records,
         "key long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, "
