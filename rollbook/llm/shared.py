@@ -26,8 +26,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Arrow batches of whole texts hold few rows; 10,000 long texts don't fit a worker."""
+    """Let Arrow batches of whole texts hold few rows and bytes; 10,000 long texts don't fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def partitions(spark: SparkSession) -> int:
