@@ -21,6 +21,25 @@ def _long(df: DataFrame, section: str, statistics: Sequence[str]) -> DataFrame:
     return df.select(F.lit(section).alias("section"), "variable", F.inline(F.array(*cells)))
 
 
+def _repeats(df: DataFrame, key: str) -> DataFrame:
+    found = (
+        df.groupBy(F.col(f"`{key}`"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.lit(key).alias("variable"),
+            F.count_if(F.col("n") > 1).alias("repeated_keys"),
+            F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows_of_repeated_keys"),
+            F.sum(F.col("n") - 1).alias("later_rows"),
+        )
+    )
+    return _long(found, "repeats", ["repeated_keys", "rows_of_repeated_keys", "later_rows"])
+
+
+def tracker_check(df: DataFrame, name: str) -> DataFrame:
+    """(section, variable, statistic, value) of a tracker: missing cells, and people listed again."""
+    return _long(profile.missing_counts(df), "missing", ["n_miss"]).unionByName(_repeats(df, name))
+
+
 def quality_report(
     df: DataFrame,
     key: str,
@@ -57,20 +76,8 @@ def quality_report(
     missing = [cell("missing", c, "n_miss", f"m{i}") for i, c in enumerate(columns)]
     checks = counted.select(F.inline(F.array(*rules, *missing)))
 
-    repeats = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.lit(key).alias("variable"),
-            F.count_if(F.col("n") > 1).alias("repeated_keys"),
-            F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows_of_repeated_keys"),
-            F.sum(F.col("n") - 1).alias("later_rows"),
-        )
-    )
     numbers = profile.numeric_summary(df, numeric)
     return (
-        checks.unionByName(
-            _long(repeats, "repeats", ["repeated_keys", "rows_of_repeated_keys", "later_rows"])
-        )
+        checks.unionByName(_repeats(df, key))
         .unionByName(_long(numbers, "numbers", ["min", "q1", "median", "mean", "q3", "max"]))
     )

@@ -16,11 +16,11 @@ from rollbook.plans.indicators import (
     indicator_report,
     package_report,
 )
-from rollbook.plans.quality import MAX_AGE, quality_report
+from rollbook.plans.quality import MAX_AGE, quality_report, tracker_check
 from rollbook.plans.registers import FSW, MSM, PWID, TG, consolidate_sheets
 from rollbook.plans.repair import DATE_PREFIX, repair_values, unread_dates
 from rollbook.sources.files import load_snapshot, save_snapshot
-from rollbook.sources.sheets import land_sheets
+from rollbook.sources.sheets import land_sheets, open_sheets
 from rollbook.sources.workspace import new_path
 from workload.catalog import (
     ALIGNED_MONTHS,
@@ -420,3 +420,27 @@ _TRACKER = {
 def job_tracker_extract(spark, sf_dir):
     df = register(spark, sf_dir).select(*_TRACKER).toDF(*_TRACKER.values())
     return tracker_extract(df, path=new_path(spark, "tracker"))
+
+
+_TRACKED = ["region", "kp_name", "date_of_first_contact", "date_of_enrolment", "age", "sex"]
+_NAMES = "(SELECT count(*) AS n FROM register GROUP BY kp_name) g"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            *[_line("missing", c, "n_miss", f"count(*) - count({c})") for c in _TRACKED],
+            _line("repeats", "kp_name", "repeated_keys", count_where("n > 1"), _NAMES),
+            _line("repeats", "kp_name", "rows_of_repeated_keys", "sum(n) FILTER (WHERE n > 1)", _NAMES),
+            _line("repeats", "kp_name", "later_rows", "sum(n - 1)", _NAMES),
+        ]
+    )
+)
+def job_tracker_check(spark, sf_dir):
+    """A tracker sheet below title rows: landed, opened, and checked by name."""
+    source = new_path(spark, "tracker-sheet")
+    head = [f"{c.replace('_', ' ').capitalize()}:" for c in _TRACKED]
+    write_sheets(register(spark, sf_dir).select(*_TRACKED), source, ["Tracker", "Quarter 1"], head)
+    landed = land_sheets(spark, source, len(head), new_path(spark, "tracker-landed"))
+    opened = open_sheets(landed, skip=2, anchor="KP name").select(*[f"`{h}`" for h in head])
+    return tracker_check(headers.repair_names(opened, headers.TRACKER_RULES), "kp_name")
