@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, byte_bpe, embedding_dedup, mixing, quality, quotations, simhash, token_counts
-from rollbook.llm import token_files, warc, whitening
+from rollbook.llm import ann, byte_bpe, embedding_dedup, mixing, quality, quotations, repair, simhash
+from rollbook.llm import token_counts, token_files, warc, whitening
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +89,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.damaged_and_repaired(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return found.withColumnsRenamed({"conv": "conv_id", "sha256": "repaired_sha256"})
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     whitened = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
     return whitened.withColumnRenamed("key", "vec_id")
@@ -107,6 +112,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_quotation_threads,
         op10_quality,
+        op11_conversation_repair,
         op12_embedding_whitening,
     )
 }
