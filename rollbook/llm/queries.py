@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import ann, byte_bpe, embedding_dedup, mixing, quality, quotations, repair, simhash
-from rollbook.llm import token_counts, token_files, warc, whitening
+from rollbook.llm import suffix_dedup, token_counts, token_files, warc, whitening
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +99,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened.withColumnRenamed("key", "vec_id")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", window=400)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +121,7 @@ QUERIES = {
         op10_quality,
         op11_conversation_repair,
         op12_embedding_whitening,
+        op13_suffix_dedup,
     )
 }
 
