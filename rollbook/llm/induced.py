@@ -95,6 +95,10 @@ def _range_minima(values, low, high):
     """Minimum of values[low..high] for each pair; low <= high."""
     import numpy as np
 
+    if int((high - low).sum()) < 32 * len(values):
+        edges = np.empty(2 * len(low), dtype=np.int64)
+        edges[::2], edges[1::2] = low, high + 1
+        return np.minimum.reduceat(np.append(values, 0), edges)[::2]
     table = [values]
     most = int((high - low).max()) + 1
     while 2 << (len(table) - 1) <= most:
@@ -125,7 +129,7 @@ def induce(letters, wanted, seeds, prefixes, runs, cap: int, spill: Spill):
     queue = Queue(range_of, int(range_of[-1]) + 1, spill)
     seed_edges = np.searchsorted(letters[seeds], first_letter)
     floor = np.full(top, -1, dtype=np.int32)  # least prefix swept since the letter's last tuple; -1: no tuple yet
-    last = (-1, -1, 0)  # letter, place and kind of the tuple swept last
+    last = (-2, -1)  # code and place of the tuple swept last
     places, shared = [], []
     for r in range(int(range_of[-1]) + 1):
         own = queue.take(r)
@@ -150,23 +154,31 @@ def induce(letters, wanted, seeds, prefixes, runs, cap: int, spill: Spill):
                 some = source < n
                 source, to = source[some], to[some]
             kind, letter = code[:n] & 1, code[:n] >> 1
-            prior = [np.concatenate([[x], a[:-1]]) for x, a in zip(last, (letter, place[:n], kind))]
-            step = np.where(letter == prior[0], prefix[:n], 0)
-            meets = (letter == prior[0]) & (kind == 1) & (prior[2] == 0)
-            step[meets] = np.minimum(runs[place[:n][meets]], runs[prior[1][meets]])
-            new = place[:n][kind == 0]
-            places.append(new)
-            shared.append(prefix[:n][kind == 0])
-            last = (int(letter[-1]), int(place[n - 1]), int(kind[-1]))
+            step = prefix[:n].copy()
+            turn = np.flatnonzero(code[1:n] != code[: n - 1]) + 1  # where a letter's tuples, or its seeds, begin
+            if code[0] != last[0]:
+                turn = np.concatenate([[0], turn])
+            if len(turn):
+                before_turn = np.where(turn > 0, code[turn - 1], last[0])
+                meets = turn[code[turn] - 1 == before_turn * (code[turn] & 1)]
+                step[turn] = 0
+                if len(meets):
+                    step[meets] = np.minimum(runs[place[meets]], runs[np.where(meets > 0, place[meets - 1], last[1])])
+            old = kind == 0
+            places.append(place[:n][old])
+            shared.append(prefix[:n][old])
+            last = (int(code[n - 1]), int(place[n - 1]))
             inserted = None
-            least, rest = step.min(), floor[letter[-1] :]  # no smaller letter comes any more
+            least, rest = np.int32(step.min()), floor[letter[-1] :]  # no smaller letter comes any more
             if len(source):
                 group = np.argsort(to, kind="stable")
                 g, d = source[group], to[group]
                 opens = np.concatenate([[True], d[1:] != d[:-1]])
-                low = np.where(opens, 0, np.concatenate([[0], g[:-1] + 1]))
-                value = _range_minima(step, low, g)
+                value = np.minimum.accumulate(step)[g]
                 value[opens] = np.minimum(value[opens], floor[d[opens]])
+                later = np.flatnonzero(~opens)
+                if len(later):
+                    value[later] = _range_minima(step, g[later - 1] + 1, g[later])
                 out = np.empty((3, len(source)), dtype=np.int64)
                 out[0], out[1] = to, place[source] - 1
                 out[2, group] = np.minimum(value + 1, cap)

@@ -16,8 +16,9 @@ from rollbook.llm.shared import partitions, settle
 from rollbook.sources.workspace import new_path
 
 GRAM = 64  # a power of two
-SEGMENT = 4 << 20  # bytes of texts looked at together; longer texts are cut, with a window's overlap
-SHARD = 4 << 20  # bytes of pieces sorted together; one anchor may hold more
+SEGMENT = 1 << 20  # bytes of texts looked at together; longer texts are cut, with a window's overlap
+SHARD = 1 << 20  # bytes of pieces sorted together; one anchor may hold more
+CUTS = 2  # times the windows of a piece are halved before sorting
 MOST = 2000  # different pieces of an anchor that may be sorted as one group
 MEMORY = 256 << 20  # bytes of waiting tuples held by a task before they go to files
 
@@ -77,6 +78,8 @@ def pieces_of(data, starts, window: int):
 
 _PIECE = "key long, d1 long, d2 long, row long, off long, size long, a int, low int, high int, n long, known boolean"
 
+_PART = f"{_PIECE}, data binary"
+
 
 def _find_pieces(window: int, segment: int):
     """From (row, data): pieces, one for all equal ones of a batch, and the places of those (key null)."""
@@ -168,20 +171,28 @@ def _with_bytes(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     return docs.select("row", "data").join(own, "row").mapInArrow(cut, f"{schema}, data binary")
 
 
-def _halves(window: int):
-    """Cut the window starts of a piece in two at a place fixed to the anchor; each half's key is what its windows share."""
+def _halves(window: int, times: int):
+    """Halve the window starts of a piece ``times`` times, at places fixed to the anchor.
+
+    A part's key is the bytes all its windows share, so parts whose surroundings differ come apart.
+    """
 
     def halve(batches):
         import pyarrow as pa
         import xxhash
 
-        names = [c.split()[0] for c in _PIECE.split(", ")]
+        names = [c.split()[0] for c in _PART.split(", ")]
+        kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             out = []
             for p in batch.to_pylist():
                 data, first, last = p["data"], p["a"], p["a"] + p["size"] - window  # window starts, from the anchor
-                middle = (p["low"] + p["high"]) // 2
-                for low, high in ((p["low"], middle), (middle + 1, p["high"])):
+                ranges = [(p["low"], p["high"])]
+                for _ in range(times):
+                    ranges = [
+                        r for low, high in ranges for r in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)) if r[0] <= r[1]
+                    ]
+                for low, high in ranges:
                     a, b = max(first, low), min(last, high)
                     if a > b:
                         continue
@@ -190,9 +201,8 @@ def _halves(window: int):
                     key = xxhash.xxh3_64_intdigest(common, seed=(high - low) * 1024 - low) - (1 << 63)
                     digest = xxhash.xxh3_128_digest(own)
                     d1, d2 = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                    out.append((key, d1, d2, p["row"], p["off"] + a - first, len(own), a, low, high, 1, p["known"]))
+                    out.append((key, d1, d2, p["row"], p["off"] + a - first, len(own), a, low, high, 1, p["known"], own))
             if out:
-                kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return halve
@@ -239,18 +249,23 @@ def _sort_shards(window: int, shard: int, memory: int, folder: str):
                 [pa.array(row[piece[opens]]), pa.array(lo), pa.array(hi)], names=["row", "low", "high"]
             )
 
-        held, size, last = [], 0, None
+        held, size, group, last = [], 0, [], None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "row", "off", "known")]
             for key, row, off, known, data in zip(*columns, batch.column("data")):
-                if size > shard and key != last:
-                    found = repeated(held)
-                    if found is not None:
-                        yield found
-                    held, size = [], 0
-                data = data.as_buffer().to_pybytes()
-                held.append((row, off, known, data))
-                size, last = size + len(data), key
+                if key != last:
+                    if not all(p[2] for p in group):  # else nothing is left to find
+                        held += group
+                        size += sum(len(p[3]) for p in group)
+                    if size > shard:
+                        found = repeated(held)
+                        if found is not None:
+                            yield found
+                        held, size = [], 0
+                    group, last = [], key
+                group.append((row, off, known, data.as_buffer().to_pybytes()))
+        if not all(p[2] for p in group):
+            held += group
         if held:
             found = repeated(held)
             if found is not None:
@@ -259,6 +274,24 @@ def _sort_shards(window: int, shard: int, memory: int, folder: str):
     return work
 
 
+def _classes(pieces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of pieces: repeated ones not known before, and one of each class that shares its key with other classes.
+
+    The second also says how many classes its key has; a piece that is not the only one of its class is repeated as a
+    whole. No join meets a frequent key or class: what is unique is taken away by its id.
+    """
+    classes = settle(
+        pieces.groupBy("key", "d1", "d2").agg(F.sum("n").alias("n"), F.min("id").alias("id")), "classes"
+    )
+    repeated = pieces.where("not known").join(classes.where("n = 1").select("id"), "id", "left_anti")
+    keys = settle(classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("id").alias("id")), "keys")
+    left = classes.join(keys.where("classes = 1").select("id"), "id", "left_anti")
+    left = left.select("id", (F.col("n") > 1).alias("several"))
+    chosen = pieces.drop("d1", "d2", "n").join(left, "id")
+    chosen = chosen.withColumn("known", F.col("known") | F.col("several")).drop("several", "id")
+    return repeated, chosen, keys.where(F.col("classes") > MOST).select("key", F.lit(True).alias("hot"))
+
+
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """Bytes covered by repeated windows, as (row, low, high), overlaps among them; ``docs`` has row and data (binary)."""
     spark = docs.sparkSession
@@ -266,37 +299,26 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     found = found.mapInArrow(_find_pieces(window, SEGMENT), _PIECE).withColumn("id", F.monotonically_increasing_id())
     found = settle(found, "pieces")
     span = ["row", F.col("off").alias("low"), (F.col("off") + F.col("size")).alias("high")]
-    spans = [found.where("key is null").select(*span)]
-    pieces, sorted_by = found.where("key is not null"), []
+    repeated, chosen, _ = _classes(found.where("key is not null"))
+    spans, to_sort = [found.where("key is null").select(*span), repeated.select(*span)], []
+    chosen, times = _with_bytes(docs, chosen.drop("key")), CUTS
     while True:
-        classes = pieces.groupBy("key", "d1", "d2").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-        classes = settle(classes, "classes")
-        # a piece that is not the only one of its class is repeated as a whole
-        single = classes.where("n = 1").select("id")
-        spans.append(pieces.where("not known").join(single, "id", "left_anti").select(*span))
-        keys = settle(classes.groupBy("key").agg(F.count("*").alias("pieces"), F.min("id").alias("id")), "keys")
-        left = classes.join(keys.where("pieces = 1").select("id"), "id", "left_anti")
-        hot = keys.where(F.col("pieces") > MOST).select("key", F.lit(True).alias("hot"))
-        chosen = left.select("id", "key", (F.col("n") > 1).alias("several")).join(hot, "key", "left")
-        chosen = pieces.drop("key", "d1", "d2", "n").join(chosen, "id")
-        chosen = chosen.withColumn("known", F.col("known") | F.col("several")).drop("several", "id")
-        chosen = settle(chosen, "chosen")
-        sorted_by.append(chosen.where("hot is null").select("row", "key", "off", "size", "known"))
-        hot = chosen.where("hot").drop("hot", "key")
-        if hot.isEmpty():
+        parts = chosen.mapInArrow(_halves(window, times), _PART).withColumn("id", F.monotonically_increasing_id())
+        repeated, chosen, hot = _classes(settle(parts, "parts"))
+        spans.append(repeated.select(*span))
+        chosen = settle(chosen.join(hot, "key", "left"), "chosen")
+        to_sort.append(chosen.where("hot is null").select("key", "row", "off", "known", "data"))
+        chosen, times = chosen.where("hot").drop("hot", "key"), 1
+        if chosen.isEmpty():
             break
-        halves = _with_bytes(docs, hot).mapInArrow(_halves(window), _PIECE)
-        pieces = settle(halves.withColumn("id", F.monotonically_increasing_id()), "halves")
-    rest = sorted_by[0]
-    for more in sorted_by[1:]:
+    rest, every = to_sort[0], spans[0]
+    for more in to_sort[1:]:
         rest = rest.union(more)
-    shards = _with_bytes(docs, rest).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    sort = _sort_shards(window, SHARD, MEMORY, new_path(spark, "suffixes"))
-    spans.append(shards.mapInArrow(sort, "row long, low long, high long"))
-    every = spans[0]
     for more in spans[1:]:
         every = every.union(more)
-    return every
+    shards = rest.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    sort = _sort_shards(window, SHARD, MEMORY, new_path(spark, "suffixes"))
+    return every.union(shards.mapInArrow(sort, "row long, low long, high long"))
 
 
 def remove_repeats(df: DataFrame, key: str, text: str, window: int = 400) -> DataFrame:
@@ -307,8 +329,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = 400) -> Dat
     empty; a null or repeated key names a row like any other, so that repeated rows repeat each other's strings. Other columns
     are ignored; an empty table gives no row. ``window`` is more than twice GRAM.
 
-    Long texts are looked at in segments. Equal pieces are told by 128-bit digests. Anchors with more than MOST
-    different pieces are cut by what their windows share, again and again until only equal windows would remain, so no
+    Long texts are looked at in segments. Equal pieces are told by 128-bit digests. Pieces are halved CUTS times, and those
+    of a key with more than MOST different ones again and again, until only equal windows would remain, so no
     task gets a frequent passage with all its surroundings. A task holds the letters and ranks of one shard; tuples beyond MEMORY wait in
     files of the shared folder.
     """
