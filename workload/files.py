@@ -97,3 +97,39 @@ def sink_snapshot(spark, sf_dir):
     path = new_path(spark, "snapshot")
     files.save_snapshot(df, path, run_date="2024-05-21", partition_by=["region"])
     return files.load_snapshot(spark, path)
+
+
+@query(
+    f"SELECT {names(*SHEET_COLUMNS)}, '24-05-20' AS run_date FROM register WHERE region <> 'COR' "
+    f"UNION ALL SELECT {names(*SHEET_COLUMNS)}, '24-05-21' AS run_date FROM register WHERE region <> 'UER'"
+)
+def sink_snapshot_two_dates(spark, sf_dir):
+    """Two dates saved in turn, the second once more with other regions: both load, and the second is the later one."""
+    df = register(spark, sf_dir).select(*SHEET_COLUMNS)
+    path = new_path(spark, "snapshot")
+    files.save_snapshot(df.where("region <> 'COR'"), path, run_date="2024-05-20", partition_by=["region"])
+    files.save_snapshot(df, path, run_date="2024-05-21", partition_by=["region"])
+    files.save_snapshot(df.where("region <> 'UER'"), path, run_date="2024-05-21", partition_by=["region"])
+    return files.load_snapshot(spark, path)
+
+
+_FOREIGN = "CASE WHEN sno % 4 = 0 THEN 'two' || chr(13) || chr(10) || 'lines, \"' || county || '\"' ELSE county END"
+
+
+@query(
+    "SELECT " + ", ".join(f"{_FOREIGN} AS county" if c == "county" else c for c in ID_COLUMNS) + " FROM register"
+)
+def src_csv_foreign_line_ends(spark, sf_dir):
+    """Rows that end in CR LF or LF, also within one file, with line breaks of both kinds inside cells."""
+    df = register(spark, sf_dir).select(*ID_COLUMNS).withColumn("county", F.expr(_FOREIGN))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quote(F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in df.columns])
+    ended = F.when(F.col("sno") % 3 == 0, F.concat(line, F.lit("\r"))).otherwise(line)
+    header = F.lit(",".join(df.columns) + "\r")
+    is_first = F.monotonically_increasing_id() % FIRST_IN_TASK == 0
+    lines = df.select(ended.alias("line"), is_first.alias("is_first")).select(
+        F.explode(F.when(F.col("is_first"), F.array(header, "line")).otherwise(F.array("line"))).alias("value")
+    )
+    path = new_path(spark, "csv")
+    lines.write.text(path)
+    return files.read_csv(spark, path, df.schema)

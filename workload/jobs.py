@@ -17,9 +17,10 @@ from rollbook.plans.indicators import (
     package_report,
 )
 from rollbook.plans.quality import MAX_AGE, quality_report, tracker_check
-from rollbook.plans.registers import FSW, MSM, PWID, TG, consolidate_sheets
+from rollbook.plans.registers import FSW, MSM, PWID, TG, consolidate_records, consolidate_sheets
 from rollbook.plans.repair import DATE_PREFIX, repair_values, unread_dates
 from rollbook.sources.files import load_snapshot, save_snapshot
+from rollbook.sources.records import land_records
 from rollbook.sources.sheets import land_sheets, open_sheets
 from rollbook.sources.workspace import new_path
 from workload.catalog import (
@@ -125,6 +126,27 @@ def job_register_from_sheets(spark, sf_dir):
     return consolidate_sheets(TG, landed).drop("row_in_source")
 
 
+@query(
+    f"SELECT {', '.join(as_text(c) for c in SHEET_COLUMNS)}, {_TG_RANK} AS source_rank "
+    "FROM register WHERE kp_type <> ''"
+)
+def src_sheet_header_variants(spark, sf_dir):
+    """Files of five regions in one folder under different headers: other orders, other spellings, other title rows."""
+    df = register(spark, sf_dir).select(*SHEET_COLUMNS)
+    source = new_path(spark, "sheets")
+    for i, sheet in enumerate(TG.sheets):
+        own = df.filter(F.col("region") == sheet.region)
+        columns = df.columns if sheet.region == TG.layout else df.columns[::-1] if i % 2 else sorted(df.columns)
+        header = sheet_header(columns)
+        if i % 2 and sheet.region != TG.layout:
+            header = [h.upper() for h in header]
+        titles = [f'"Title {i}\nof the region"' for i in range(min(2, sheet.preamble))]
+        write_sheets(own.select(*columns), f"{source}/{sheet.region}", titles, header)
+    landed = land_records(spark, f"{source}/*", new_path(spark, "records"))
+    region = F.regexp_extract("source_file", "/([A-Z]+)/[^/]*$", 1)
+    return consolidate_records(TG, landed, region).drop("row_in_source")
+
+
 # ---- repair -----------------------------------------------------------------------------------
 
 _REPAIR_COLUMNS = [c for c in ID_COLUMNS if c != "remarks"]
