@@ -59,17 +59,25 @@ class Queue:
         self.range_of, self.spill = range_of, spill
         self.waiting: list[list] = [[] for _ in range(ranges)]
         self.filed: list[list[str]] = [[] for _ in range(ranges)]
+        self.fresh: list = []
 
     def insert(self, tuples) -> None:
+        self.fresh.append(tuples)
+
+    def _deal(self) -> None:
+        """Hand what was inserted since the last take to its ranges; file everything if too much waits."""
         import numpy as np
 
+        if not self.fresh:
+            return
+        tuples = np.concatenate(self.fresh, axis=1)
+        self.fresh = []
         at = self.range_of[tuples[0]]
         order = np.argsort(at, kind="stable")
         at, tuples = at[order], tuples[:, order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if a < b:
-                self.waiting[at[a]].append(tuples[:, a:b])
+        edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        for r, a, b in zip(at[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+            self.waiting[r].append(tuples[:, a:b])
         self.spill.held += tuples.nbytes
         if self.spill.held > self.spill.most and self.spill.folder:
             for r, parts in enumerate(self.waiting):
@@ -82,6 +90,7 @@ class Queue:
         """All tuples of a range, by letter, in the order of insertion."""
         import numpy as np
 
+        self._deal()
         parts = [self.spill.read(name) for name in self.filed[r]] + self.waiting[r]
         self.spill.held = max(0, self.spill.held - sum(p.nbytes for p in self.waiting[r]))
         self.waiting[r], self.filed[r] = [], []

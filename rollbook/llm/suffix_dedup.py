@@ -17,8 +17,8 @@ from rollbook.sources.workspace import new_path
 
 GRAM = 64  # a power of two
 SEGMENT = 1 << 20  # bytes of texts looked at together; longer texts are cut, with a window's overlap
-SHARD = 1 << 20  # bytes of pieces sorted together; one anchor may hold more
-CUTS = 2  # times the windows of a piece are halved before sorting
+SHARD = 2 << 20  # bytes of pieces sorted together; one anchor may hold more
+CUTS = 3  # times the windows of a piece are halved before sorting
 MOST = 2000  # different pieces of an anchor that may be sorted as one group
 MEMORY = 256 << 20  # bytes of waiting tuples held by a task before they go to files
 
