@@ -5,7 +5,7 @@ come first.
 
 No operator here gathers the rows of one key in one task. A key's first row is a minimum, which
 combines before the shuffle; later rows are matched to it by their own place, which spreads evenly
-however many rows a key has; group sizes meet the rows under a salt.
+however many rows a key has; group sizes meet the rows of large keys under salts, as many as the size asks for.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16  # tasks that the rows of one key are dealt to when its size is looked up
+from rollbook.sources.workspace import new_path
+
+ROWS_A_SALT = 1 << 17  # rows of one key that meet its size in one task
+SALTS = 16  # least salts of a key with more rows
 
 
 def _quoted(names: Sequence[str]) -> list[Column]:
@@ -52,19 +55,27 @@ def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def get_dupes(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """All rows of repeated keys with ``dupe_count``; keys first, largest groups first.
 
-    Sizes are counted before any row moves. Those of repeated keys are copied under every salt, and
-    a row meets its key's size under the salt of its own place, so a key of any size fills SALTS
-    tasks. The order columns end the sort key, so that a hot key can fill many output partitions.
+    Sizes are counted before any row moves. A key with more than ROWS_A_SALT rows gets a salt for each so many of them (SALTS at least);
+    the list of such keys (at most a key for each ROWS_A_SALT rows of the table) tells its rows their salts. A row then
+    meets its key's size under its salt. Small keys have one salt and are copied once. The order columns end the sort
+    key, so that a hot key can fill many output partitions.
     """
-    sizes = df.groupBy(*_quoted(keys)).agg(F.count(F.lit(1)).alias("dupe_count"))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    sizes = sizes.filter("dupe_count > 1").withColumn("_salt", salts).alias("size")
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*_quoted(order)), F.lit(SALTS)).cast("int"))
+    sizes = df.groupBy(*_quoted(keys)).agg(F.count(F.lit(1)).alias("dupe_count")).filter("dupe_count > 1")
+    path = new_path(df.sparkSession, "group-sizes")
+    salts = F.greatest(F.ceil(F.col("dupe_count") / ROWS_A_SALT).cast("int"), F.lit(SALTS))
+    salts = F.when(F.col("dupe_count") > ROWS_A_SALT, salts).otherwise(1)
+    sizes.withColumn("_salts", salts).write.parquet(path)
+    sizes = df.sparkSession.read.parquet(path)
+    large = sizes.filter("_salts > 1").select(*[F.col(f"`{k}`").alias(f"_of{i}") for i, k in enumerate(keys)], "_salts")
+    found = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)])
+    dealt = F.pmod(F.xxhash64(*_quoted(order)), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt")
+    rows = df.join(F.broadcast(large), found, "left").select(*_quoted(df.columns), dealt)
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     same = _same("row", "size", keys) & (F.col("row._salt") == F.col("size._salt"))
     others = [F.col(f"row.`{c}`") for c in df.columns if c not in set(keys)]
     return (
         rows.alias("row")
-        .join(sizes, same)
+        .join(sizes.alias("size"), same)
         .select(*[F.col(f"row.`{k}`") for k in keys], "dupe_count", *others)
         .orderBy(F.col("dupe_count").desc(), *_quoted(keys), *_quoted(order))
     )

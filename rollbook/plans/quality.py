@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rollbook.functions import number_column
-from rollbook.operators import profile
+from rollbook.functions import number_column, to_number
+from rollbook.operators import dupes, profile
+from rollbook.sources.files import load_snapshot, save_snapshot
+from rollbook.sources.workspace import new_path
 
 MAX_AGE = 100
 
@@ -81,3 +84,108 @@ def quality_report(
         checks.unionByName(_repeats(df, key))
         .unionByName(_long(numbers, "numbers", ["min", "q1", "median", "mean", "q3", "max"]))
     )
+
+
+@dataclass(frozen=True)
+class SavedQuality:
+    """What is known of a snapshot once it is written: the report, and the rows of repeated keys."""
+
+    report: DataFrame
+    repeats: DataFrame
+
+
+def save_with_quality(
+    df: DataFrame,
+    path: str,
+    run_date: str,
+    key: str,
+    order: Sequence[str],
+    type_column: str,
+    first_contact: str,
+    enrolment: str,
+    numeric: Sequence[str] = ("age", "yob"),
+    levels: Sequence[str] = (),
+    texts: Sequence[str] = (),
+    age: str = "age",
+    partition_by: Sequence[str] = (),
+) -> SavedQuality:
+    """Write a dated snapshot and report on it: (section, variable, statistic, value).
+
+    Two scans. What needs no more than a row at a time (missing cells, rule breaks, lengths and blanks of texts) is
+    observed while the snapshot is written. What needs a column's different values (repeated keys, levels, numbers,
+    distinct texts) comes from one scan of those columns of the snapshot, as value counts that combine before the
+    shuffle. The listed rows of repeated keys are a plan of their own, run when they are read.
+    """
+    columns = df.columns
+    cell = lambda c: F.col(f"`{c}`")
+    found = Observation()
+    observed = df.observe(
+        found,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(cell(type_column) == "", F.lit(True))).alias("blank"),
+        F.count_if(cell(first_contact) > cell(enrolment)).alias("late"),
+        F.count_if(number_column(df, age) > MAX_AGE).alias("old"),
+        *[F.count_if(cell(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.min(F.length(cell(c))).alias(f"short{i}") for i, c in enumerate(texts)],
+        *[F.max(F.length(cell(c))).alias(f"long{i}") for i, c in enumerate(texts)],
+        *[F.count_if(cell(c) == "").alias(f"empty{i}") for i, c in enumerate(texts)],
+        *[F.count_if(cell(c).rlike(r"^\s+$")).alias(f"space{i}") for i, c in enumerate(texts)],
+    )
+    save_snapshot(observed, path, run_date, partition_by)
+    seen = found.get
+    rows = [
+        ("register", "all", "rows", seen["rows"]),
+        ("check", type_column, "blank", seen["blank"]),
+        ("check", first_contact, "after_enrolment", seen["late"]),
+        ("check", age, "above_limit", seen["old"]),
+        *[("missing", c, "n_miss", seen[f"m{i}"]) for i, c in enumerate(columns)],
+    ]
+    for i, c in enumerate(texts):
+        missing = seen[f"m{columns.index(c)}"]
+        rate = (seen["rows"] - missing) / seen["rows"] if seen["rows"] else None
+        names = ("complete_rate", "min_length", "max_length", "empty", "whitespace")
+        values = (rate, *[seen[f"{k}{i}"] for k in ("short", "long", "empty", "space")])
+        rows += [("text", c, name, v) for name, v in zip(names, values)]
+    schema = "section string, variable string, statistic string, value double"
+    spark = df.sparkSession
+    saved = load_snapshot(spark, path, run_date)
+    plain = spark.createDataFrame([(a, b, c, None if v is None else float(v)) for a, b, c, v in rows], schema)
+
+    wanted = list(dict.fromkeys([key, *levels, *texts, *numeric]))
+    as_text = saved.select(*[cell(c).cast("string").alias(c) for c in wanted])
+    counts = as_text.unpivot([], [cell(c) for c in wanted], "variable", "value").groupBy("variable", "value")
+    target = new_path(spark, "quality-values")
+    counts.agg(F.count(F.lit(1)).alias("n")).write.parquet(target)
+    counts = spark.read.schema("variable string, value string, n bigint").parquet(target)
+
+    n, value = F.col("n"), F.col("value")
+    repeated = counts.where(F.col("variable") == key).agg(
+        F.lit(key).alias("variable"),
+        F.count_if(n > 1).alias("repeated_keys"),
+        F.sum(F.when(n > 1, n).otherwise(0)).alias("rows_of_repeated_keys"),
+        F.sum(n - 1).alias("later_rows"),
+    )
+    parts = [plain, _long(repeated, "repeats", ["repeated_keys", "rows_of_repeated_keys", "later_rows"])]
+    if levels:
+        level = counts.where(F.col("variable").isin(*levels))
+        parts.append(
+            level.select(
+                F.lit("level").alias("section"),
+                "variable",
+                F.coalesce(value, F.lit("NA")).alias("statistic"),
+                n.cast("double").alias("value"),
+            )
+        )
+    if texts:
+        unique = counts.where(F.col("variable").isin(*texts)).groupBy("variable").agg(F.count("value").alias("n_unique"))
+        parts.append(_long(unique, "text", ["n_unique"]))
+    if numeric:
+        typed = counts.where(F.col("variable").isin(*numeric)).withColumn("value", to_number(value))
+        typed = typed.groupBy("variable", "value").agg(F.sum("n").alias("n"))
+        numbers = profile.numeric_profile(saved, numeric, ranks=False, counts=typed)
+        numbers = numbers.withColumnsRenamed({"p25": "q1", "p50": "median", "p75": "q3"})
+        parts.append(_long(numbers, "numbers", ["min", "q1", "median", "mean", "q3", "max"]))
+    report = parts[0]
+    for more in parts[1:]:
+        report = report.unionByName(more)
+    return SavedQuality(report, dupes.get_dupes(saved, [key], order))

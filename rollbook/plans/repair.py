@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import STATUS_INTENDED, cell_date, is_unread_date, place_from_code, recode, text_date
 from rollbook.functions.recodes import PLACE_CODES, REGION_CODES, SEX_CODES
 from rollbook.operators.columns import lower_text, starts_with, swap_where
+from rollbook.operators.dates import read_dates
 
 # Prefixes of columns with the status at each visit, and of date cells.
 STATUS_PREFIXES = ("hiv_status", "hiv_care_outcome")
@@ -41,14 +42,19 @@ def repair_values(
     status: str = "hiv_status_at_enrollment",
     status_map: Mapping[str, str] = STATUS_INTENDED,
     text_dates: Sequence[str] = (),
+    vote_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Swap, lower, recode and convert the columns that regions enter differently.
 
     The listed columns and the monthly status columns are lowered, not the other monthly cells,
     which are tested for ``Yes`` later on. Dates of next appointments, one or one a month, are day
     serials or text; ``text_dates`` are columns that hold dates as text. ``unread_dates`` counts
-    the cells that are neither.
+    the cells that are neither. Given ``vote_by``, the columns vote for how their dates are read, in each group
+    of those columns (``operators.dates``): a number is then a date only in a column of serials.
     """
+    if vote_by is not None:
+        df = read_dates(df, [*starts_with(df, DATE_PREFIX), *text_dates], vote_by)
+        text_dates = ()
     for swap in swaps:
         df = swap_where(df, F.col("region") == swap.region, swap.a, swap.b)
     monthly = [c for c in starts_with(df, *STATUS_PREFIXES) if c != status]
@@ -58,7 +64,7 @@ def repair_values(
             "region": recode(F.col("region"), REGION_CODES),
             "sex": recode(F.col("sex"), SEX_CODES),
             status: recode(F.col(status), status_map),
-            **{c: cell_date(F.col(f"`{c}`")) for c in starts_with(df, DATE_PREFIX)},
+            **{c: cell_date(F.col(f"`{c}`")) for c in starts_with(df, DATE_PREFIX) if vote_by is None},
             **{c: text_date(F.col(c)) for c in text_dates},
             "county": place_from_code(F.col("kp_unique_identifier"), F.col("county"), PLACE_CODES),
         }

@@ -34,6 +34,14 @@ def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
     writer.csv(path)
 
 
+def export_csv(df: DataFrame, folder: str, name: str, run_date: str) -> str:
+    """Write a spreadsheet export filed under its name and run date; return its path. Other dates' exports stay."""
+    label = df.sparkSession.range(1).select(run_date_label(F.lit(run_date).cast("date"))).first()[0]
+    path = f"{folder.rstrip('/')}/{name}_{label}"
+    write_csv(df, path, compress=True)
+    return path
+
+
 def _typed(field: StructField) -> Column:
     cell = F.col(f"`{field.name}`")
     if isinstance(field.dataType, StringType):

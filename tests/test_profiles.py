@@ -35,6 +35,46 @@ def test_quantiles_are_exact_for_any_number_of_ranges(frame, numbers, ranges, mo
         assert got[name]["n_missing"] == 4 and got[name]["n"] == len(values)
 
 
+@pytest.mark.parametrize("most,ranges", [(3, 2), (40, 5), (500, 128)])
+def test_ranges_with_more_values_are_cut_again(frame, numbers, most, ranges, monkeypatch):
+    monkeypatch.setattr(profile, "MOST_VALUES", most)
+    monkeypatch.setattr(profile, "RANGES", ranges)
+    points = (0.0, 0.1, 0.5, 0.77, 1.0)
+    got = {r["variable"]: r for r in profile.numeric_profile(frame, ["x", "y"], points).collect()}
+    for name, values in (("x", numbers), ("y", np.arange(len(numbers)))):
+        have = [got[name][profile._quantile_name(p)] for p in points]
+        assert have == pytest.approx(list(np.quantile(values, points)), rel=1e-12)
+    n = len(numbers)
+    pairs = np.abs(numbers[:, None] - numbers[None, :]).sum() / (n * (n - 1))
+    assert got["x"]["gini_mean_difference"] == pytest.approx(pairs)
+
+
+def test_no_task_orders_more_than_a_range(spark, monkeypatch):
+    """Selected ranges hold at most MOST_VALUES values, however many there are."""
+    monkeypatch.setattr(profile, "MOST_VALUES", 200)
+    monkeypatch.setattr(profile, "RANGES", 8)
+    seen = []
+    live = profile._live
+    monkeypatch.setattr(profile, "_live", lambda counts, some: seen.append(some) or live(counts, some))
+    df = spark.range(20_000).select(F.exp(F.col("id") / 900).alias("x"))
+    got = profile.numeric_summary(df, ["x"]).first()
+    assert got["median"] == pytest.approx((np.exp(9999 / 900) + np.exp(10000 / 900)) / 2)
+    assert len(seen) > 2
+    last = [(low, high) for _, _, low, high, _ in seen[-1]]
+    assert all(df.where(F.col("x").between(low, high)).count() <= 200 for low, high in last)
+
+
+def test_sketches_of_groups_merge(spark):
+    df = spark.range(30_000).select(
+        (F.col("id") % 7).alias("g"), F.concat(F.lit("k"), F.col("id") % 9000).alias("s"), F.lit(None).cast("string").alias("e")
+    )
+    merged = profile.merge_sketches(profile.text_sketches(df, ["s", "e"], ["g"]), ["s", "e"])
+    got = {r["variable"]: r["n_unique"] for r in merged.collect()}
+    assert got["e"] == 0 and abs(got["s"] / 9000 - 1) < profile.SKETCH_ERROR
+    sketched = {r["variable"]: r for r in profile.skim_text(df, ["s", "e"], sketch=True).collect()}
+    assert sketched["s"]["n_unique"] == got["s"] and sketched["e"]["n_missing"] == 30_000
+
+
 def test_moments_gini_and_info(frame, numbers):
     got = profile.numeric_profile(frame, ["x"]).first()
     n = len(numbers)
@@ -66,11 +106,16 @@ def test_single_value(spark):
     assert (got["p0"], got["p50"], got["p100"], got["sd"]) == (4.0, 4.0, 4.0, None)
 
 
-def test_value_counts_are_scanned_once(frame):
+def test_value_counts_are_scanned_once(frame, monkeypatch):
+    """The counts are made once, before the report; the report's own plan reads them and never the data."""
+    made = []
+    count = profile.numeric_value_counts
+    monkeypatch.setattr(profile, "numeric_value_counts", lambda *a: made.append(a) or count(*a))
     df = profile.describe(frame.select("x"), ["x"])
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("partial_count(1)") == 1
+    assert len(made) == 1 and "value-counts" in plan
+    assert "InMemory" not in plan and plan.count("partial_count(1)") == 0
 
 
 def test_missing_counts(spark):

@@ -62,6 +62,16 @@ def test_get_dupes_with_hot_keys(skewed, salts, monkeypatch):
     assert [tuple(r) for r in got.collect()] == want
 
 
+@pytest.mark.parametrize("rows,salts", [(20, 2), (100, 16), (1, 1)])
+def test_large_keys_get_salts_by_their_size(skewed, rows, salts, monkeypatch):
+    monkeypatch.setattr(dupes, "ROWS_A_SALT", rows)
+    monkeypatch.setattr(dupes, "SALTS", salts)
+    groups = brute(skewed)
+    got = dupes.get_dupes(skewed, ["k"], ["id"]).collect()
+    want = [(k, len(g), r[0], r[2]) for k, g in groups.items() if len(g) > 1 for r in g]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_hot_keys_are_split_when_nothing_can_be_broadcast_at_run_time(skewed, spark):
     """The cold side forced through the shuffle join gives the same rows."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

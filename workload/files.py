@@ -133,3 +133,13 @@ def src_csv_foreign_line_ends(spark, sf_dir):
     path = new_path(spark, "csv")
     lines.write.text(path)
     return files.read_csv(spark, path, df.schema)
+
+
+@query(
+    f"SELECT {names(*SHEET_COLUMNS)}, 'register_24-05-21' AS export FROM register WHERE kp_type <> ''"
+)
+def sink_dated_export(spark, sf_dir):
+    """The cleaned register as a dated spreadsheet export (CSV, compressed), read back from its file."""
+    df = register(spark, sf_dir).select(*SHEET_COLUMNS).where("kp_type <> ''")
+    path = files.export_csv(df, new_path(spark, "exports"), "register", "2024-05-21")
+    return files.read_csv(spark, path, df.schema).withColumn("export", F.lit(path.rsplit("/", 1)[1]))

@@ -16,7 +16,8 @@ from rollbook.plans.indicators import (
     indicator_report,
     package_report,
 )
-from rollbook.plans.quality import MAX_AGE, quality_report, tracker_check
+from rollbook.operators.dates import read_dates
+from rollbook.plans.quality import MAX_AGE, quality_report, save_with_quality, tracker_check
 from rollbook.plans.registers import FSW, MSM, PWID, TG, consolidate_records, consolidate_sheets
 from rollbook.plans.repair import DATE_PREFIX, repair_values, unread_dates
 from rollbook.sources.files import load_snapshot, save_snapshot
@@ -24,6 +25,7 @@ from rollbook.sources.records import land_records
 from rollbook.sources.sheets import land_sheets, open_sheets
 from rollbook.sources.workspace import new_path
 from workload.catalog import (
+    CATALOG,
     ALIGNED_MONTHS,
     CONDOMS,
     NEEDLES,
@@ -358,6 +360,82 @@ def job_quality_report(spark, sf_dir):
     return report.withColumn("value", F.round("value", 6))
 
 
+_REPORT_TEXTS = ("county", "peer_educator", "kp_name")
+
+
+@query(
+    CATALOG["job_quality_report"].sql
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        [
+            *[
+                _line("text", c, statistic, text.format(c))
+                for c in _REPORT_TEXTS
+                for statistic, text in {
+                    "complete_rate": "count({0}) / CAST(count(*) AS DOUBLE)",
+                    "min_length": "min(length({0}))", "max_length": "max(length({0}))",
+                    "empty": "count(*) FILTER (WHERE {0} = '')",
+                    "whitespace": "count(*) FILTER (WHERE {0} <> '' AND trim({0}) = '')",
+                    "n_unique": "count(DISTINCT {0})",
+                }.items()
+            ],
+            *[
+                f"SELECT 'level' AS section, '{c}' AS variable, coalesce({c}, 'NA') AS statistic, "
+                f"CAST(count(*) AS DOUBLE) AS value FROM register GROUP BY {c}"
+                for c in ("kp_type", "sex")
+            ],
+        ]
+    ),
+    register=False,
+)
+def job_quality_snapshot(spark, sf_dir):
+    """The whole report, with text profiles and levels, observed while the snapshot is written."""
+    found = save_with_quality(
+        register(spark, sf_dir), new_path(spark, "quality-snapshot"), "2024-05-21", "kp_unique_identifier", ["sno"],
+        "kp_type", "date_of_first_contact", "date_of_enrolment", levels=("kp_type", "sex"), texts=_REPORT_TEXTS,
+    )
+    return found.report.withColumn("value", F.round("value", 6))
+
+
+@query(
+    "SELECT r.kp_unique_identifier, g.n AS dupe_count, r.sno, r.county FROM register r JOIN "
+    "(SELECT kp_unique_identifier AS k, count(*) AS n FROM register GROUP BY 1 HAVING count(*) > 1) g "
+    "ON r.kp_unique_identifier IS NOT DISTINCT FROM g.k"
+)
+def job_quality_listed_repeats(spark, sf_dir):
+    """The listed rows of repeated keys, read from the snapshot that the report was taken of."""
+    found = save_with_quality(
+        register(spark, sf_dir).select("sno", "kp_unique_identifier", "county", "kp_type", "age", "yob",
+                                       "date_of_first_contact", "date_of_enrolment"),
+        new_path(spark, "quality-snapshot"), "2024-05-21", "kp_unique_identifier", ["sno"],
+        "kp_type", "date_of_first_contact", "date_of_enrolment",
+    )
+    return found.repeats.select("kp_unique_identifier", "dupe_count", "sno", "county")
+
+
+# Cells of one appointment column: serials in three regions (numbers beyond their years are no dates), month first in one,
+# day first in one.
+_MIXED = (
+    "CASE WHEN sno % 11 = 0 THEN '2018' WHEN sno % 13 = 0 THEN '5' "
+    "WHEN region = 'NRR' THEN (1 + sno % 12) || '/' || (1 + sno % 28) || '/2024' "
+    "WHEN region = 'UER' THEN (1 + sno % 28) || '/' || (1 + sno % 12) || '/2024' "
+    "ELSE CAST(45292 + sno % 180 AS VARCHAR(10)) END"
+)
+_DAY = "CAST('2024-' || lpad(CAST(1 + sno % 12 AS VARCHAR(2)), 2, '0') || '-' || lpad(CAST(1 + sno % 28 AS VARCHAR(2)), 2, '0') AS DATE)"
+
+
+@query(
+    "SELECT sno, CASE WHEN sno % 11 = 0 OR sno % 13 = 0 THEN NULL "
+    f"WHEN region IN ('NRR', 'UER') THEN {_DAY} "
+    "ELSE DATE '1899-12-30' + CAST(45292 + sno % 180 AS INT) END AS appointment FROM register"
+)
+def fn_voted_dates(spark, sf_dir):
+    """One column with serials, month-first and day-first dates by region, and numbers that are no dates."""
+    df = register(spark, sf_dir).select("sno", "region", F.expr(_MIXED).alias("appointment"))
+    return read_dates(df, ["appointment"], by=["region"]).select("sno", "appointment")
+
+
+
 # ---- indicators -------------------------------------------------------------------------------
 
 _PACKAGE_COUNTS = {

@@ -44,6 +44,16 @@ def freq_one_way_pct(spark, sf_dir):
     return tables.one_way_percent(register(spark, sf_dir), "sr_name").drop("label")
 
 
+@query(
+    "SELECT sr_name, n, pct, printf('%.2f%% (%d)', pct, n) AS label FROM (SELECT sr_name, count(*) AS n, "
+    "round_even(count(*) / CAST((SELECT count(*) FROM register) AS DOUBLE) * 100, 2) AS pct "
+    "FROM register GROUP BY sr_name) t"
+)
+def freq_one_way_label(spark, sf_dir):
+    """With the printed label."""
+    return tables.one_way_percent(register(spark, sf_dir), "sr_name")
+
+
 def _cells(column: str, values) -> str:
     listed = [
         (f"{column} IS NULL", "NA_") if v is None else (f"{column} = '{v}'", v) for v in values
@@ -183,6 +193,24 @@ def prof_skim_text(spark, sf_dir):
     return _rounded(profile.skim_text(register(spark, sf_dir)))
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, count(*) - count({c}) AS n_missing, CAST(1 AS INT) AS within_error FROM register"
+        for c in _TEXT
+    )
+)
+def prof_skim_text_sketch(spark, sf_dir):
+    """Distinct counts by sketches kept for each region and merged: within the stated error of the exact ones."""
+    df = register(spark, sf_dir)
+    exact = profile.skim_text(df).select("variable", "n_missing", "n_unique")
+    kept = profile.text_sketches(df.withColumn("part", F.col("region")), _TEXT, ["part"])
+    merged = profile.merge_sketches(kept, _TEXT)
+    near = F.abs(F.col("sketched") - F.col("n_unique")) <= F.col("n_unique") * profile.SKETCH_ERROR
+    return exact.join(merged.withColumnRenamed("n_unique", "sketched"), "variable").select(
+        "variable", "n_missing", near.cast("int").alias("within_error")
+    )
+
+
 _MISSING = " UNION ALL ".join(
     f"SELECT CAST({i} AS INT) AS position, '{c}' AS variable, count(*) - count({c}) AS n_miss, "
     "count(*) AS n FROM register"
