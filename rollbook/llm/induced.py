@@ -4,7 +4,8 @@ The sorted starred suffixes (an S-suffix after an L-suffix) induce all others: a
 from a priority queue and inserts the suffix one place further left. Queue entries are tuples of first letter, place
 and length of the prefix shared with the entry before. The queue is cut by letter ranges; a range is read when the
 sweep reaches it, until then its tuples wait in memory or, beyond a bound, in files. Starred suffixes are sorted by
-naming their substrings and, where names repeat, by the same procedure on the names.
+naming their substrings and, where names repeat, by the same procedure on the names, until these are few enough to
+be sorted in memory.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import io
 
 RANGE = 1 << 10  # least tuples of a range of letters; one frequent letter may hold more
 SWEEP = 1 << 16  # tuples swept at once
+DIRECT = 1 << 20  # names sorted in memory, where the recursion ends
 
 
 class Spill:
@@ -245,6 +247,45 @@ def _names(text, rising, starred):
     return np.unique(rank, return_inverse=True)[1]
 
 
+def sort_in_memory(names, cap: int):
+    """``suffix_order`` of a short text: ranks by 1, 2, 4, ... letters until no two are equal."""
+    import numpy as np
+
+    n = len(names)
+    rank = names.astype(np.int64)
+    ranks, step = [rank], 1
+    order = np.argsort(rank, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(start, np.diff(np.append(start, n)))  # the first place of the equal ones
+    place = order
+    while True:
+        size = np.bincount(rank, minlength=n)
+        live = np.flatnonzero(size[rank[place]] > 1)  # places not settled yet
+        if not len(live):
+            break
+        own = place[live]
+        after = own + step
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.lexsort((key, rank[own]))
+        own, key = own[sort], key[sort]
+        place[live] = own
+        opens = np.concatenate([[True], (key[1:] != key[:-1]) | (rank[own][1:] != rank[own][:-1])])
+        first = np.repeat(live[opens], np.diff(np.append(np.flatnonzero(opens), len(own))))
+        rank = rank.copy()
+        rank[own] = first
+        ranks.append(rank)
+        step *= 2
+    a, b = place[:-1], place[1:]
+    shared = np.zeros(n - 1, dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + shared, b + shared
+        inside = np.maximum(x, y) < n
+        same = inside & (ranks[k][np.minimum(x, n - 1)] == ranks[k][np.minimum(y, n - 1)])
+        shared += np.where(same, 1 << k, 0)
+    return place, np.minimum(np.concatenate([[0], shared]), cap)
+
+
 def suffix_order(text, cap: int, spill: Spill | None = None):
     """Places of all suffixes in order, and the length of the prefix each shares with the one before (at most ``cap``).
 
@@ -268,6 +309,8 @@ def suffix_order(text, cap: int, spill: Spill | None = None):
     names = _names(text, rising, starred)
     if names.max() + 1 == len(names):
         order, prefixes = np.argsort(names), np.zeros(len(names), dtype=np.int64)
+    elif len(names) <= DIRECT:
+        order, prefixes = sort_in_memory(names, cap)
     else:
         order, prefixes = suffix_order(names, cap, spill)
     seeds = starred[order]

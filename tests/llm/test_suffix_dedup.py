@@ -25,8 +25,10 @@ def plain_order(text, cap):
     return order, shared
 
 
+@pytest.mark.parametrize("direct", [0, 12, 1 << 20])
 @pytest.mark.parametrize("small", [False, True])
-def test_suffix_order_equals_sorting(monkeypatch, tmp_path, small):
+def test_suffix_order_equals_sorting(monkeypatch, tmp_path, small, direct):
+    monkeypatch.setattr(induced, "DIRECT", direct)
     if small:
         monkeypatch.setattr(induced, "RANGE", 4)
         monkeypatch.setattr(induced, "SWEEP", 5)
@@ -46,6 +48,15 @@ def test_suffix_order_equals_sorting(monkeypatch, tmp_path, small):
     assert bool(files) == small and not list(tmp_path.iterdir())
 
 
+def test_sorting_in_memory_equals_sorting():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        text = [*rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(0, 90))).tolist(), 0]
+        cap = int(rng.integers(1, 60))
+        places, shared = induced.sort_in_memory(np.array(text), cap)
+        assert (places.tolist(), shared.tolist()) == plain_order(text, cap)
+
+
 def brute(texts, window):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + window] for d in data for i in range(len(d) - window + 1))
