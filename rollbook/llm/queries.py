@@ -266,9 +266,113 @@ SELECT o.c AS conv_id, o.t AS turn, o.r AS role, s.t AS reply_to, o.by_quote, o.
 FROM ordered o LEFT JOIN p s ON o.k = s.k AND o.dest = s.position
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+), said AS (
+    SELECT conv_id AS c, turn AS t, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id
+    FROM conversations
+), fated AS (
+    SELECT said.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(id) + 1), lambda i: ascii(substr(id, i, 1))::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate
+    FROM said, bits
+), damaged AS (
+    SELECT c, t, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM fated WHERE fate <> 0
+), seen AS (
+    SELECT *, coalesce('c' || c, 'n') AS k, row_number() OVER o AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM damaged WINDOW o AS (PARTITION BY c ORDER BY t NULLS FIRST, role, text, copy)
+), r AS (
+    SELECT k, c, t, role, text, i, body = '' AS blank,
+        body <> '' AND row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again,
+        right(body, 1) NOT IN ('.', '!', '?') AS unended, count(*) OVER (PARTITION BY k) AS n,
+        CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS x,
+        lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) AS pair
+    FROM seen
+), f AS (
+    SELECT *, blank OR again AS drops, CASE WHEN unended AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM r
+), best AS (
+    SELECT k, n + 1 AS i, 0 AS v0, 6 AS v1, 3 AS v2, 0 AS v3 FROM (SELECT DISTINCT k, n FROM f)
+    UNION ALL
+    SELECT k, i, least(w0, w2 + 3, w3 + 6), least(w1, w2 + 3, w3 + 6), least(w2, w3 + 3), least(w3, w2 + 3) FROM (
+        SELECT f.k, f.i,
+            least(v0 + 4, CASE WHEN drops THEN 1000000 ELSE extra + least(v2 + 3, CASE x WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE 1000000 END) END) AS w0,
+            least(v1 + 4, CASE WHEN drops THEN 1000000 ELSE extra + least(v2 + 3, CASE x WHEN 2 THEN v2 ELSE 1000000 END) END) AS w1,
+            least(v2 + 4, CASE WHEN drops THEN 1000000 ELSE extra + least(v3 + 3, CASE x WHEN 3 THEN v3 ELSE 1000000 END) END) AS w2,
+            least(v3 + 4, CASE WHEN drops THEN 1000000 ELSE extra + least(v2 + 3, CASE x WHEN 2 THEN v2 ELSE 1000000 END) END) AS w3
+        FROM best JOIN f ON f.k = best.k AND f.i = best.i - 1)
+), costs AS (
+    SELECT k, i, [v0, v1, v2, v3] AS v FROM best
+), walk AS (
+    SELECT k, 1::BIGINT AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM costs WHERE i = 1
+    UNION ALL
+    SELECT k, i + CAST(e <> 'I' AS BIGINT), CASE e WHEN 'D' THEN s WHEN 'K' THEN x ELSE due END, audit || e,
+        CASE e WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, named || ':')
+            WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, named || ':' || text) END
+    FROM (
+        SELECT w.*, f.role, f.text, f.x, due, CASE due WHEN 2 THEN 'user' ELSE 'assistant' END AS named,
+            CASE WHEN f.k IS NOT NULL AND a.v[s + 1] + 4 = h.v[s + 1] THEN 'D'
+                WHEN h.v[due + 1] + 3 = h.v[s + 1] THEN 'I'
+                WHEN f.k IS NOT NULL AND NOT drops AND ((s = 0 AND x IN (1, 2)) OR (s IN (1, 3) AND x = 2) OR (s = 2 AND x = 3))
+                    AND a.v[x + 1] + extra = h.v[s + 1] THEN 'K'
+                WHEN f.k IS NOT NULL AND NOT drops AND a.v[due + 1] + 3 + extra = h.v[s + 1] THEN 'R' END AS e
+        FROM (SELECT *, CASE s WHEN 2 THEN 3 ELSE 2 END AS due FROM walk) w
+        JOIN costs h ON h.k = w.k AND h.i = w.i
+        LEFT JOIN f ON f.k = w.k AND f.i = w.i
+        LEFT JOIN costs a ON a.k = w.k AND a.i = w.i + 1
+    ) WHERE e IS NOT NULL
+), ends AS (
+    SELECT k, max_by(audit, length(audit)) AS audit, max_by(lines, length(audit)) AS lines FROM walk GROUP BY k
+), counts AS (
+    SELECT k, coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+        count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE extra > 0) AS truncated,
+        count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY k
+), ids AS (
+    SELECT DISTINCT conv_id, coalesce('c' || conv_id, 'n') AS k FROM conversations
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(costs.v[1], 0) AS BIGINT) AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (k) LEFT JOIN costs ON costs.k = ids.k AND costs.i = 1 LEFT JOIN ends ON ends.k = ids.k
+"""
+
+OP13_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+    SELECT *, length(h) // 2 AS n_bytes FROM d
+), w AS (
+    SELECT r, p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS k
+    FROM (SELECT r, h, unnest(range(n_bytes - 399)) AS p FROM b WHERE n_bytes >= 400)
+), again AS (
+    SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), runs AS (
+    SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY p) AS run
+    FROM (SELECT *, CAST(coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, true) AS INT) AS opens FROM again)
+), spans AS (
+    SELECT r, run, min(p) AS lo, max(p) + 400 AS hi FROM runs GROUP BY r, run
+), edges AS (
+    SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM spans
+), cut AS (
+    SELECT e.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+        string_agg(substr(b.h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (lo - before) AS BIGINT)), '' ORDER BY lo) AS kept
+    FROM edges e JOIN b ON e.r = b.r GROUP BY e.r
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN cut.r IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM b LEFT JOIN cut ON b.r = cut.r
+"""
+
 ORACLE_SQL = {
     "op2_embedding_near_dedup": OP2_SQL,
     "op5_source_mix": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op9_quotation_threads": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
