@@ -105,7 +105,7 @@ def _tokenizer(definition: bytes):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition.decode())
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        tokenizer.encode_special_tokens = True  # a word is never a special token, only a whole text holds them
         _tokenizers.clear()
         _tokenizers[definition] = (tokenizer, {})
     return _tokenizers[definition]
@@ -133,22 +133,68 @@ def _meet(words, tokenizer, held, kind):
             held[w] = held[core] + held[tail]
 
 
-def _ids(frames, definition, end, kind):
+def _encode(texts, tokenizer, held, kind, end):
+    """Ids of texts, each with the end id, as bytes: words are cut and numbered by Arrow, ids put together by number."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lines = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    numbered = lines.flatten().dictionary_encode()
+    words = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+    new = [w for w in words if w and w not in held]
+    if new:
+        _meet(new, tokenizer, held, kind)
+    parts = [held[w] if w else b"" for w in words]
+    wide = np.dtype(kind).itemsize
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // wide
+    known = np.frombuffer(b"".join(parts), kind)
+    first = np.cumsum(size) - size
+    code = numbered.indices.to_numpy(zero_copy_only=False)
+    n = size[code]
+    until = np.cumsum(n)
+    at = np.arange(until[-1] if len(until) else 0) + np.repeat(first[code] - (until - n), n)
+    ids = known[at]
+    edges = np.concatenate([[0], until])[lines.offsets.to_numpy()]
+    tail = np.array([end], kind).tobytes()
+    named = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+    out = []
+    for text, a, b in zip(texts, edges[:-1].tolist(), edges[1:].tolist()):
+        if any(t.content in text for t in named):
+            out.append(np.array(_whole(text, tokenizer), kind).tobytes() + tail)
+        else:
+            out.append(ids[a:b].tobytes() + tail)
+    return out
+
+
+def _whole(text, tokenizer):
+    """A text's ids by the library, which alone knows how names of special tokens are cut out of it."""
+    tokenizer.encode_special_tokens = False
+    try:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        tokenizer.encode_special_tokens = True
+
+
+PROBE = ("It's 9.5% of THE,\tEnd?!\n New\u00a0line  co-op", "a", " ", "'S's x'LL ... \u00c9t\u00c9\u0301 \u0130")
+
+
+def _refuse_unfit(definition: bytes, kind: str) -> None:
+    """Fail for a tokenizer whose ids of a text are not those of its lower-cased words."""
     import numpy as np
 
+    tokenizer, held = _tokenizer(definition)
+    for text, ids in zip(PROBE, _encode(PROBE, tokenizer, held, kind, 0)):
+        if np.frombuffer(ids, kind)[:-1].tolist() != _whole(text, tokenizer):
+            raise ValueError("the tokenizer does not encode a text word by word")
+
+
+def _ids(frames, definition, end, kind):
     tokenizer, held = _tokenizer(definition.value)
-    tail = np.array([end], kind).tobytes()
-    get = held.__getitem__
     for frame in frames:
         if len(held) > WORDS_HELD:
             held.clear()
-        out = []
-        lines = [t.encode().lower().split() for t in frame["text"]]
-        new = set().union(*lines).difference(held)
-        if new:
-            _meet(new, tokenizer, held, kind)
-        for line in lines:
-            out.append(b"".join(map(get, line)) + tail)
+        out = _encode(frame["text"].tolist(), tokenizer, held, kind, end)
         frame = frame[["key", "uid"]].copy()
         frame["ids"] = out
         yield frame
@@ -291,8 +337,10 @@ def _read(frames, table):
 def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, end: int) -> tuple[DataFrame, str]:
     """Encode whole texts and write their ids in ascending key order (nulls last); return blocks and table.
 
-    The tokenizer must lower-case, drop white space and part letters from marks: then the ids of a text are
-    those of its words, the marks at their end apart. Each is encoded once per worker. ``end`` follows. Null texts count as empty. Ids are staged,
+    The tokenizer must lower-case, drop white space and part letters from marks, else it is refused: then the ids of a
+    text are those of its words, the marks at their end apart. Each is encoded once per worker. A text that holds the name
+    of a special token is encoded by the library as a whole. Texts of any length are taken whole, a batch at a time;
+    repeated keys keep the order of the input's rows. ``end`` follows. Null texts count as empty. Ids are staged,
     counted over all texts, dealt by ranges of the key, and coded with the one table of frequencies. A
     file holds blocks of ids, each decodable on its own and checked by crc32, and an index of blocks and
     documents. Rows of ``blocks`` (path, part, block, n) name what a reader can decode in parallel.
@@ -304,6 +352,7 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, end: int) -
 
     size = max(Tokenizer.from_str(held.value.decode()).get_vocab_size(), end + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
+    _refuse_unfit(held.value, kind)
     rows = df.select(
         F.col(key).cast("long").cast("string").alias("key"),
         F.monotonically_increasing_id().alias("uid"),

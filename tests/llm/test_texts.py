@@ -88,7 +88,6 @@ def test_shared_prefixes_and_ties():
 
 def want_tokens(df):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rows = [(k, tokenizer.encode(t or "", add_special_tokens=False).ids + [END]) for k, t in pairs(df)]
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
 
@@ -105,6 +104,50 @@ def test_token_files_round_trip(spark):
         at += len(ids)
 
 
+def test_special_names_are_encoded_as_the_library_does(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>x", "<|ENDOFTEXT|>", "a<|endoftext|", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks, table = token_files.write_tokens(df, "doc_id", "text", WORDS, END)
+    got = [np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_tokens(blocks, table).orderBy("key").collect()]
+    assert got == [ids for _, ids in want_tokens(df)] and 49407 in got[0]
+
+
+def test_a_tokenizer_of_another_kind_is_refused(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    whole = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "A": 3}, []))
+    whole.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    whole.save(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="word by word"):
+        token_files.write_tokens(df, "doc_id", "text", str(tmp_path / "t.json"), END)
+
+
+def test_files_of_several_blocks(spark, monkeypatch):
+    """Blocks of 50 ids, written and read through the files themselves."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, int(n)).astype("<u2") for n in rng.integers(0, 90, 13)]
+    freq = token_files.even_out(np.bincount(np.concatenate(docs), minlength=300) + 1)
+    monkeypatch.setattr(token_files, "BLOCK", 50)
+    folder = token_files.new_path(spark, "blocks")
+    token_files.write_file(f"{folder}/frequencies.bin", [freq.astype("<i8").tobytes()])
+
+    class Held:
+        value = freq
+
+    class Task:
+        partitionId = taskAttemptId = attemptNumber = staticmethod(lambda: 0)
+
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: Task))
+    frame = pd.DataFrame({"key": [str(i) for i in range(13)], "ids": [d.tobytes() for d in docs]})
+    blocks = pd.concat(token_files._files(iter([frame]), folder, Held, "<u2"))
+    assert len(blocks) > 5
+    read = pd.concat(token_files._read(iter([blocks]), f"{folder}/frequencies.bin")).sort_values("local_start", kind="stable")
+    assert [np.frombuffer(i, "<u4").tolist() for _, i in sorted(zip(read["key"].astype(int), read["ids"]))] == [d.tolist() for d in docs]
+
+
 def test_token_files_of_nothing(spark):
     blocks, table = token_files.write_tokens(empty(spark), "doc_id", "text", WORDS, END)
     assert token_files.read_tokens(blocks, table).count() == 0
