@@ -165,17 +165,28 @@ def nearest(
     Queries with fewer than ``k`` finds search all lists, so a small table yields all its rows.
 
     Ties go to the smaller key. A query never finds its own row; repeated rows find each other. Rows whose
-    key is null, or whose vector is null, empty, zero, of another length than most, or holds null or
-    non-finite components, take no part.
+    key is null, or whose vector is null, empty, zero, or holds null or non-finite components, take no part.
+    Vectors of another length have an index of their own, one length after the other.
     """
     spark = df.sparkSession
     small_batches(spark, 4000)
     rows = df.select(
         F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), is_query.alias("_asks")
     ).where(usable(F.col("vector")) & F.col("key").isNotNull())
-    usual = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = usual[0]["d"] if usual else 0
-    rows = rows.where(F.size("vector") == dim).select("*", *same_key(F.col("vector")))
+    lengths = [r["d"] for r in rows.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]
+    out = spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
+    for d in lengths:
+        own = rows.where(F.size("vector") == d).select("*", *same_key(F.col("vector")))
+        found = _nearest(own, k, lists, replicas, replica_ratio, search_ratio)
+        out = out.unionByName(found.withColumnRenamed("key", key))
+    return out
+
+
+def _nearest(
+    rows: DataFrame, k: int, lists: int | None, replicas: int, replica_ratio: float, search_ratio: float
+) -> DataFrame:
+    """``nearest`` among vectors of one length: rows have key, vector, _asks, _k1 and _k2."""
+    spark = rows.sparkSession
     group = ["_k1", "_k2"]
     classes = settle(
         rows.groupBy(*group).agg(
@@ -226,7 +237,7 @@ def nearest(
         wide = ask.join(short.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
         more = _search(wide.withColumn("lists", every), member, sizes, k)
         top = top.join(short.select("_row"), "_row", "left_anti").unionByName(_top(more, first, short, k))
-    return top.select("query_id", "rank", F.col("key").alias(key), "score")
+    return top.select("query_id", "rank", "key", "score")
 
 
 def _search(ask: DataFrame, member: DataFrame, sizes: DataFrame, k: int) -> DataFrame:

@@ -102,6 +102,28 @@ def _verified(frames, cosine, shared, n_pivots, probes):
             yield pd.concat(out, ignore_index=True)
 
 
+def _linked(
+    fit: DataFrame, n_classes: int, cosine: float, pivots: int | None, prefix: int, shared: int, probes: int
+) -> DataFrame:
+    """Links among classes of vectors of one length: (a, b, n), see ``_verified``."""
+    spark = fit.sparkSession
+    pivots = pivots or min(MOST_PIVOTS, max(48, math.isqrt(n_classes)))
+    points = choose_pivots(sample_vectors(fit, "vector", max(SAMPLE, pivots)), pivots)
+    held = spark.sparkContext.broadcast(points)
+    prefix = min(prefix, pivots)
+    plain = fit.select("_label", "node", "copies", "vector")
+    schema = _schema(plain, "order array<int>")
+    described = plain.mapInPandas(lambda f: _described(f, held, prefix), schema)
+    posted = described.select("*", F.posexplode("order").alias("_pos", "_pivot"))
+    posted = posted.withColumnRenamed("_pos", "rank")
+    keys = ["_label", "_pivot", "_i", "_j"]
+    posted = split_hot(settle(posted, "postings"), ["_label", "_pivot"], F.col("node"), BLOCK)
+    dealt = posted.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    return settle(
+        dealt.mapInPandas(lambda f: _verified(f, cosine, shared, pivots, probes), "a long, b long, n long"), "links"
+    )
+
+
 def near_vectors(
     df: DataFrame,
     key: str,
@@ -122,8 +144,11 @@ def near_vectors(
     copies included; ``component_id`` is the smallest key reachable, ``kept`` whether it is the row's own
     and, for repeated rows, may hold for each of them.
 
-    Rows whose key or label is null, or whose vector is null, empty, zero, of another length than most, or
-    holds null or non-finite components, link with nothing: 0 links, their own key as component.
+    Rows whose key or label is null, or whose vector is null, empty, zero, or holds null or non-finite components,
+    link with nothing: 0 links, their own key as component. Vectors of another length have pivots and lists of their
+    own, one length after the other. A pair is met if one of its vectors' ``probes`` nearest pivots is among the other's
+    ``prefix`` and ``shared`` are common: with ``shared=1, probes=1`` and ``prefix`` at the number of pivots every pair of a label
+    and length is compared, which is the exact setting.
     Pivots: by default the root of the number of classes, at least 48; more pivots make lists shorter.
     """
     spark = df.sparkSession
@@ -142,24 +167,14 @@ def near_vectors(
         F.first("_dim").alias("_dim"),
     )
     classes = settle(classes, "classes")
-    usual = classes.groupBy("_dim").count().orderBy(F.desc("count"), "_dim").limit(1).collect()
-    dim = usual[0]["_dim"] if usual else 0
-    fit = classes.where(F.col("_dim") == dim)
-    pivots = pivots or min(MOST_PIVOTS, max(48, math.isqrt(usual[0]["count"] if usual else 0)))
-    points = choose_pivots(sample_vectors(fit, "vector", max(SAMPLE, pivots)), pivots)
-    held = spark.sparkContext.broadcast(points)
-    prefix = min(prefix, pivots)
-    plain = fit.select("_label", "node", "copies", "vector")
-    schema = _schema(plain, "order array<int>")
-    described = plain.mapInPandas(lambda f: _described(f, held, prefix), schema)
-    posted = described.select("*", F.posexplode("order").alias("_pos", "_pivot"))
-    posted = posted.withColumnRenamed("_pos", "rank")
-    keys = ["_label", "_pivot", "_i", "_j"]
-    posted = split_hot(settle(posted, "postings"), ["_label", "_pivot"], F.col("node"), BLOCK)
-    dealt = posted.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    found = settle(
-        dealt.mapInPandas(lambda f: _verified(f, cosine, shared, pivots, probes), "a long, b long, n long"), "links"
-    )
+    lengths = classes.groupBy("_dim").count().where("count > 1").orderBy("_dim").collect()
+    links = [
+        _linked(classes.where(F.col("_dim") == r["_dim"]), r["count"], cosine, pivots, prefix, shared, probes)
+        for r in lengths
+    ]
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for some in links:
+        found = found.unionByName(some)
     direct = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("_links"))
     component = components(found.where("a <> b").select("a", "b"))
     named = (

@@ -66,6 +66,29 @@ def test_near_vectors_equal_brute_force(spark):
     assert [tuple(r) for r in got] == sorted(want, key=lambda r: repr(r[:3]))
 
 
+def test_vectors_of_every_length_take_part(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [2.0, 4.001], 1), (4, [5.0], 1)]
+    rows += [(10 + i, np.eye(3)[i % 3].tolist(), 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, "vec_id", "embedding", "label").collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [2, 2, 2, 0] and got[10] == 3 and got[11] == 2
+    found = ann.nearest(df, "vec_id", "embedding", F.col("vec_id") <= 4, k=5).collect()
+    want = {1: [2, 3], 2: [1, 3], 3: [1, 2]}
+    assert {q: [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+    assert not [r for r in found if r.query_id == 4]
+
+
+def test_the_exact_setting_compares_every_pair(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, (base[i % 40] + rng.normal(size=6) * 0.12).tolist(), 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_vectors(df, "vec_id", "embedding", "label", pivots=8, prefix=8, shared=1, probes=1)
+    x = np.array([v / np.sqrt(v @ v) for v in (np.array(r[1]) for r in rows)])
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert links.sum() and [r.n_links for r in sorted(got.collect(), key=lambda r: r.vec_id)] == links.tolist()
+
+
 def test_a_hot_group_is_split_and_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     rng = np.random.default_rng(1)
