@@ -9,6 +9,8 @@ from rollbook.llm.shared import partitions, settle, small_batches, starts_of, wh
 from rollbook.llm.vectors import matrix, same_key, sample_vectors, unit, usable
 
 SAMPLE = 20_000  # vectors the centroids are fitted on; bounds what the driver holds
+ENTRIES = 16  # centroids at which a walk of the graph begins
+WIDTH = 64  # centroids a query's walk keeps, so the most lists it searches
 MOST_LISTS = 8192  # bounds the broadcast of centroids and their graph
 BLOCK = 4096
 
@@ -56,7 +58,7 @@ def search_graph(x, centre, graph, width: int):
     import numpy as np
 
     n, width = len(x), min(width, len(centre))
-    entry = np.linspace(0, len(centre) - 1, min(len(centre), max(8, width))).astype(np.int64)
+    entry = np.linspace(0, len(centre) - 1, min(len(centre), ENTRIES)).astype(np.int64)
     entry = np.unique(entry)
     ids = np.tile(entry, (n, 1))
     sims = x @ centre[entry].T
@@ -154,14 +156,15 @@ def nearest(
     replicas: int = 4,
     replica_ratio: float = 1.15,
     search_ratio: float = 1.25,
+    width: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows of each query row: query_id, rank (from 1), the key, score (cosine).
 
     Equal vectors are one class, indexed once; each class keeps its ``k + 1`` smallest keys, which are all
     that a result can name. Centroids are fitted on a bounded sample by balanced k-means. A class goes to
     its nearest list and to those within ``replica_ratio`` times that distance (at most ``replicas``), a
-    query to the lists within ``search_ratio`` times the distance of its nearest; both walk a neighbour
-    graph of the centroids. Lists longer than a block are searched block by block by different tasks.
+    query to the lists within ``search_ratio`` times the distance of its nearest, at most ``width`` (WIDTH) of them; both walk
+    a neighbour graph of the centroids from a few fixed ones. More width finds more and compares more. Lists longer than a block are searched block by block by different tasks.
     Queries with fewer than ``k`` finds search all lists, so a small table yields all its rows.
 
     Ties go to the smaller key. A query never finds its own row; repeated rows find each other. Rows whose
@@ -177,13 +180,13 @@ def nearest(
     out = spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
     for d in lengths:
         own = rows.where(F.size("vector") == d).select("*", *same_key(F.col("vector")))
-        found = _nearest(own, k, lists, replicas, replica_ratio, search_ratio)
+        found = _nearest(own, k, lists, replicas, replica_ratio, search_ratio, width or WIDTH)
         out = out.unionByName(found.withColumnRenamed("key", key))
     return out
 
 
 def _nearest(
-    rows: DataFrame, k: int, lists: int | None, replicas: int, replica_ratio: float, search_ratio: float
+    rows: DataFrame, k: int, lists: int | None, replicas: int, replica_ratio: float, search_ratio: float, width: int
 ) -> DataFrame:
     """``nearest`` among vectors of one length: rows have key, vector, _asks, _k1 and _k2."""
     spark = rows.sparkSession
@@ -226,8 +229,9 @@ def _nearest(
         member.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")), "list-sizes"
     )  # one row a list, at most MOST_LISTS
     ask = classes.where("_asks").select("node", "small", "vector")
+    width = min(lists, width)
     found = _search(ask.mapInPandas(
-        lambda f: _lists(f, index, lists, search_ratio, lists, "lists"), schema
+        lambda f: _lists(f, index, width, search_ratio, lists, "lists"), schema
     ), member, sizes, k)
     top = _top(found, first, asked, k)
     short = asked.join(top.groupBy("_row").count().where(F.col("count") >= k), "_row", "left_anti")
