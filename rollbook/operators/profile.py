@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -93,8 +93,22 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _column_totals(counts: DataFrame) -> DataFrame:
-    """One row per column, computed now: rows, known, n_distinct, mean, min, max."""
+def _small(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table that is part of the plan, so that joining it takes no job of its own."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.createDataFrame(
+        pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+    )
+
+
+_TOTALS = "variable string, rows bigint, known bigint, n_distinct bigint, mean double, min double, max double"
+
+
+def _column_totals(counts: DataFrame) -> list[Row]:
+    """One row per column: rows, known, n_distinct, mean, min, max."""
     value = F.col("value")
     totals = counts.groupBy("variable").agg(
         F.sum("n").alias("rows"),
@@ -104,13 +118,13 @@ def _column_totals(counts: DataFrame) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return counts.sparkSession.createDataFrame(totals.collect(), totals.schema)
+    return totals.collect()
 
 
 def _live(counts: DataFrame, live: list[tuple]) -> DataFrame:
     """Value counts inside the live ranges (variable, range, low, high, before); both ends belong to a range."""
     schema = "variable string, range int, low double, high double, before bigint"
-    ranges = counts.sparkSession.createDataFrame(live, schema)  # at most two rows a wanted quantile
+    ranges = _small(counts.sparkSession, live, schema)  # at most two rows a wanted quantile
     inside = (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     return counts.join(F.broadcast(ranges), "variable").where(inside)
 
@@ -147,7 +161,7 @@ def select_ranks(
                 sizes[(v, place)] = row["values"]
         live = nxt
     ranks = [(v, rank) for v, some in wanted.items() for rank in sorted(set(some))]
-    ranks = counts.sparkSession.createDataFrame(ranks, "variable string, rank bigint")
+    ranks = _small(counts.sparkSession, ranks, "variable string, rank bigint")
     inside = W.partitionBy("variable", "range").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     found = _live(counts, live).withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     covers = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
@@ -176,9 +190,10 @@ def running_counts(counts: DataFrame, n_values: int) -> DataFrame:
     )
 
 
-def _quantiles(counts: DataFrame, totals: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+def _quantiles(
+    counts: DataFrame, rows: list[Row], totals: DataFrame, quantiles: Sequence[float]
+) -> DataFrame:
     """Exact quantiles with linear interpolation between ranks, one column each."""
-    rows = totals.collect()  # a row a column
     places = {r["variable"]: [(r["known"] - 1) * p for p in quantiles] for r in rows if r["known"]}
     wanted = {v: [k for x in some for k in (math.floor(x), math.ceil(x))] for v, some in places.items()}
     bounds = {r["variable"]: (r["min"], r["max"], r["n_distinct"]) for r in rows if r["known"]}
@@ -205,7 +220,8 @@ def numeric_profile(
     """
     if counts is None:
         counts = _written(numeric_value_counts(df, columns), "value-counts")
-    totals = _column_totals(counts)
+    rows = _column_totals(counts)
+    totals = _small(counts.sparkSession, rows, _TOTALS)
     value, known, n, size = F.col("value"), F.col("known"), _known(), F.max("known")
     each = counts.join(F.broadcast(totals.select("variable", "known", "mean")), "variable")
     squares = F.sum((value - F.col("mean")) * (value - F.col("mean")) * n)
@@ -214,11 +230,12 @@ def numeric_profile(
         F.sqrt(squares / F.when(size > 1, size - 1)).alias("sd"),
         F.when(size > 1, (1 - ties) / (1 - 1 / (size * size))).alias("info"),
     )
-    out = totals.join(spread, "variable").join(_quantiles(counts, totals, quantiles), "variable", "left")
+    out = totals.join(spread, "variable").join(
+        _quantiles(counts, rows, totals, quantiles), "variable", "left"
+    )
     if ranks:
         # With c smaller rows, a value held by n rows has ranks c+1..c+n; the rank sums collapse.
-        n_values = totals.agg(F.sum("n_distinct")).first()[0] or 0
-        each = running_counts(counts, n_values).join(F.broadcast(totals.select("variable", "known")), "variable")
+        each = running_counts(counts, sum(r["n_distinct"] for r in rows)).join(F.broadcast(totals.select("variable", "known")), "variable")
         gini = F.sum(value * n * (2 * F.col("before") + n - known)) * 2 / (size * (size - 1))
         gini = each.groupBy("variable").agg(F.when(size > 1, gini).alias("gini_mean_difference"))
         out = out.join(gini, "variable")

@@ -115,7 +115,7 @@ def test_value_counts_are_scanned_once(frame, monkeypatch):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(made) == 1 and "value-counts" in plan
-    assert "InMemory" not in plan and plan.count("partial_count(1)") == 0
+    assert "InMemoryTableScan" not in plan and plan.count("partial_count(1)") == 0
 
 
 def test_missing_counts(spark):
