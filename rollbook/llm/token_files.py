@@ -115,55 +115,56 @@ def _meet(words, tokenizer, held, kind):
     """Encode words the worker has not met: marks at their end apart from the letters before."""
     import numpy as np
 
-    parts = {}
+    alone, parted = {}, []
     for w in words:
         core = w.rstrip(TAIL)
-        parts[w] = (core, w[len(core) :]) if core and core[-1] in LETTERS else (w, b"")
-    new = [p for p in {p for pair in parts.values() for p in pair if p} if p not in held]
+        if core and len(core) < len(w) and core[-1] in LETTERS:
+            tail = w[len(core) :]
+            parted.append((w, core, tail))
+            alone[core] = alone[tail] = None
+        else:
+            alone[w] = None
+    new = [w for w in alone if w not in held]
+    wide = np.dtype(kind).itemsize
     for s in range(0, len(new), 256):
         some = new[s : s + 256]
         code = tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(code.ids, kind)
-        of = np.array(code.word_ids, np.int64)
-        edge = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-        for w, a, b in zip(some, edge, edge[1:]):
-            held[w] = ids[a:b].tobytes()
-    for w, (core, tail) in parts.items():
-        if tail and w not in held:
-            held[w] = held[core] + held[tail]
+        ids = np.array(code.ids, kind).tobytes()
+        edge = (wide * np.searchsorted(np.array(code.word_ids), np.arange(len(some) + 1))).tolist()
+        held.update(zip(some, [ids[a:b] for a, b in zip(edge, edge[1:])]))
+    for w, core, tail in parted:
+        held[w] = held[core] + held[tail]
 
 
 def _encode(texts, tokenizer, held, kind, end):
-    """Ids of texts, each with the end id, as bytes: words are cut and numbered by Arrow, ids put together by number."""
+    """Ids of an array of texts, each with the end id, as bytes: Arrow cuts and numbers the words, and puts their ids together."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lines = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    lines = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
     numbered = lines.flatten().dictionary_encode()
     words = numbered.dictionary.cast(pa.large_binary()).to_pylist()
-    new = [w for w in words if w and w not in held]
+    held[b""] = b""
+    new = [w for w in words if w not in held]
     if new:
         _meet(new, tokenizer, held, kind)
-    parts = [held[w] if w else b"" for w in words]
-    wide = np.dtype(kind).itemsize
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // wide
-    known = np.frombuffer(b"".join(parts), kind)
-    first = np.cumsum(size) - size
-    code = numbered.indices.to_numpy(zero_copy_only=False)
-    n = size[code]
-    until = np.cumsum(n)
-    at = np.arange(until[-1] if len(until) else 0) + np.repeat(first[code] - (until - n), n)
-    ids = known[at]
-    edges = np.concatenate([[0], until])[lines.offsets.to_numpy()]
     tail = np.array([end], kind).tobytes()
-    named = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content]
-    out = []
-    for text, a, b in zip(texts, edges[:-1].tolist(), edges[1:].tolist()):
-        if any(t.content in text for t in named):
-            out.append(np.array(_whole(text, tokenizer), kind).tobytes() + tail)
-        else:
-            out.append(ids[a:b].tobytes() + tail)
+    parts = pa.array([*map(held.__getitem__, words), tail], pa.large_binary())
+    starts = lines.offsets.to_numpy() - lines.offsets[0].as_py()
+    code = np.insert(numbered.indices.to_numpy(), starts[1:], len(words))
+    _, until, data = parts.take(pa.array(code)).buffers()
+    edges = np.frombuffer(until, np.int64)[starts + np.arange(len(starts))]
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(edges), data]).cast(pa.binary())
+    named = np.zeros(len(texts), bool)
+    for t in tokenizer.get_added_tokens_decoder().values():
+        if t.content:
+            named |= np.asarray(pc.match_substring(texts, t.content))
+    if named.any():
+        listed = out.to_pylist()
+        for i in np.flatnonzero(named).tolist():
+            listed[i] = np.array(_whole(texts[i].as_py(), tokenizer), kind).tobytes() + tail
+        out = pa.array(listed, pa.binary())
     return out
 
 
@@ -182,37 +183,39 @@ PROBE = ("It's 9.5% of THE,\tEnd?!\n New\u00a0line  co-op", "a", " ", "'S's x'LL
 def _refuse_unfit(definition: bytes, kind: str) -> None:
     """Fail for a tokenizer whose ids of a text are not those of its lower-cased words."""
     import numpy as np
+    import pyarrow as pa
 
     tokenizer, held = _tokenizer(definition)
-    for text, ids in zip(PROBE, _encode(PROBE, tokenizer, held, kind, 0)):
+    for text, ids in zip(PROBE, _encode(pa.array(PROBE), tokenizer, held, kind, 0).to_pylist()):
         if np.frombuffer(ids, kind)[:-1].tolist() != _whole(text, tokenizer):
             raise ValueError("the tokenizer does not encode a text word by word")
 
 
-def _ids(frames, definition, end, kind):
+def _ids(batches, definition, end, kind):
+    import pyarrow as pa
+
     tokenizer, held = _tokenizer(definition.value)
-    for frame in frames:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
         if len(held) > WORDS_HELD:
             held.clear()
-        out = _encode(frame["text"].tolist(), tokenizer, held, kind, end)
-        frame = frame[["key", "uid"]].copy()
-        frame["ids"] = out
-        yield frame
+        ids = _encode(batch.column("text"), tokenizer, held, kind, end)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("uid"), ids], ["key", "uid", "ids"])
 
 
-def _counts(frames, kind, size):
+def _counts(batches, kind, size):
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     total = np.zeros(size, np.int64)
-    for frame in frames:
-        for ids in frame["ids"]:
-            total += np.bincount(np.frombuffer(ids, kind), minlength=size) if len(ids) > 4 * size else 0
-        small = [i for i in frame["ids"] if len(i) <= 4 * size]
-        if small:
-            total += np.bincount(np.frombuffer(b"".join(small), kind), minlength=size)
+    for batch in batches:
+        ids = batch.column("ids").cast(pa.large_binary())
+        edges = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][: len(ids) + 1] if len(ids) else [0]
+        if edges[-1] > edges[0]:
+            total += np.bincount(np.frombuffer(ids.buffers()[2], "u1")[edges[0] : edges[-1]].view(kind), minlength=size)
     seen = np.flatnonzero(total)
-    yield pd.DataFrame({"id": seen, "n": total[seen]})
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
 
 def _files(frames, folder, freq, kind):
@@ -346,7 +349,7 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, end: int) -
     documents. Rows of ``blocks`` (path, part, block, n) name what a reader can decode in parallel.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     held = spark.sparkContext.broadcast(read_bytes(tokenizer))
     from tokenizers import Tokenizer
 
@@ -358,8 +361,8 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, end: int) -
         F.monotonically_increasing_id().alias("uid"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    ids = settle(rows.mapInPandas(lambda f: _ids(f, held, end, kind), "key string, uid long, ids binary"), "ids")
-    counts = ids.select("ids").mapInPandas(lambda f: _counts(f, kind, size), "id long, n long")
+    ids = settle(rows.mapInArrow(lambda b: _ids(b, held, end, kind), "key string, uid long, ids binary"), "ids")
+    counts = ids.select("ids").mapInArrow(lambda b: _counts(b, kind, size), "id long, n long")
     total = [0] * size
     for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
         total[r["id"]] = r["n"]

@@ -104,6 +104,23 @@ def test_token_files_round_trip(spark):
         at += len(ids)
 
 
+def test_a_batch_is_encoded_as_arrow(spark):
+    """Ids of all texts of an array, also of a slice of one, and their counts, without a Python object a text."""
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(WORDS)
+    definition = open(WORDS, "rb").read()
+    texts = pa.array([t or "" for t in ODD_TEXTS]).slice(2)
+    tokenizer, held = token_files._tokenizer(definition)
+    got = token_files._encode(texts, tokenizer, held, "<u2", END)
+    want = [library.encode(t, add_special_tokens=False).ids + [END] for t in texts.to_pylist()]
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in got.to_pylist()] == want
+    batch = pa.RecordBatch.from_arrays([got.slice(1)], ["ids"])
+    (counts,) = token_files._counts([batch, batch.slice(0, 0)], "<u2", library.get_vocab_size())
+    counted = collections.Counter(i for ids in want[1:] for i in ids)
+    assert dict(zip(counts["id"].to_pylist(), counts["n"].to_pylist())) == counted
+
+
 def test_special_names_are_encoded_as_the_library_does(spark):
     texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>x", "<|ENDOFTEXT|>", "a<|endoftext|", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
