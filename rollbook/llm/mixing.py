@@ -154,5 +154,6 @@ def apply_mix(
     taken = _mixed(docs.drop("row"), weights, share, most, block)
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     times = settle(taken.where("size > 0").select("uid", times.alias("times")).where("times > 0"), "times")
-    out = docs.select("uid", "row").join(times, "uid")
+    # whole rows go through one shuffle at any size and are never sorted
+    out = docs.select("uid", "row").join(times.hint("shuffle_hash"), "uid")
     return out.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

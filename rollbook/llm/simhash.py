@@ -217,4 +217,5 @@ def keep_one(df: DataFrame, key: str, text: str, shingle: int = 3, radius: int =
     member = prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     best = member.groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min("first").alias("first"))
     kept = settle(best.select(F.col("first.uid").alias("uid")), "kept")
-    return held.join(kept, "uid", "left_semi").select("row.*")
+    # whole texts go through one shuffle at any size and are never sorted
+    return held.join(kept.hint("shuffle_hash"), "uid", "left_semi").select("row.*")

@@ -295,6 +295,14 @@ def test_merge_order_of_an_odd_vocabulary(spark, tmp_path):
 # ---- SimHash
 
 
+def test_whole_rows_are_joined_alike_at_any_size(spark):
+    """Small tables too: what is broadcast at one size and sorted at the next can't be projected."""
+    df = texts_frame(spark)
+    for out in (simhash.keep_one(df, "doc_id", "text"), mixing.apply_mix(df, "doc_id", "text", "source")):
+        plan = out._jdf.queryExecution().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def brute_print(text, n=3):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
