@@ -292,6 +292,22 @@ def test_merge_order_of_an_odd_vocabulary(spark, tmp_path):
         assert r.ids == library.encode_ordinary(r.t), r.t
 
 
+def test_long_words_are_folded_as_the_library_does():
+    """Words of every length in one call, also beside the length from which a word is folded on its own."""
+    ranks = byte_bpe.read_ranks(open(RANKS, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = byte_bpe.Ranks(ranks)
+    arrays = [np.array(x, np.int64) for x in (table.byte, table.offset, table.slots)]
+    rng = random.Random(4)
+    sizes = [1, 2, 3, 50, byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1, 5000, 300_000]
+    words = [bytes(rng.choice(b"abest") for _ in range(n)) for n in sizes]
+    ids, n = byte_bpe.fold(words, ranks, *arrays)
+    ends = np.cumsum(n)
+    for word, a, b in zip(words, ends - n, ends):
+        assert ids[a:b].tolist() == library._core_bpe.encode_single_piece(word)
+    assert [len(x) for x in byte_bpe.fold([], ranks, *arrays)] == [0, 0]
+
+
 # ---- SimHash
 
 
