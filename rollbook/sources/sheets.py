@@ -48,6 +48,16 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def equals_anchor(cell: Column, anchor: str) -> Column:
+    """Whether a cell is the anchor, but for case and marks.
+
+    Cells that lack one of the anchor's words, nearly all, are told by plain search; only the others are repaired.
+    """
+    wanted = re.sub("[^a-z0-9]+", "_", anchor.lower()).strip("_")
+    holds = [F.lower(cell).contains(word) for word in wanted.split("_")]
+    return reduce(Column.__and__, [*holds, _plain(cell) == wanted])
+
+
 def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None = None) -> DataFrame:
     """Data rows of landed sheets under their repaired headers, with their place.
 
@@ -61,24 +71,20 @@ def open_sheets(landed: DataFrame, skip: int | None = None, anchor: str | None =
     appended. Cells are trimmed, and blank ones are NULL. Columns beyond the last header cell must
     be empty.
 
-    One pass finds the headers of all files, whose table has a row a file and is written down.
+    The cells are read once for the headers of all files, and only rows that hold the anchor are ordered; the headers'
+    table has a row a file and is written down.
     """
     if skip is None and anchor is None:
         raise ValueError("give skip or anchor")
     cells = [c for c in landed.columns if c not in ("source_file", "row_id")]
     row = F.struct("row_id", F.array(*cells).alias("names"))
+    starts = landed.groupBy("source_file").agg(F.min("row_id").alias("first_id"))
     if anchor is None:
-        first = F.min("row_id").alias("first_id")
-        starts = landed.groupBy("source_file").agg(first)
-        at = landed.join(starts, "source_file")
-        header = F.min(F.when(F.col("row_id") == F.col("first_id") + skip, row))
+        heads = landed.join(starts, "source_file").where(F.col("row_id") == F.col("first_id") + skip)
     else:
-        wanted = re.sub("[^a-z0-9]+", "_", anchor.lower()).strip("_")
-        has_anchor = reduce(Column.__or__, [_plain(F.col(c)).eqNullSafe(wanted) for c in cells])
-        at = landed
-        header = F.min(F.when(has_anchor, row))
-    found = at.groupBy("source_file").agg(header.alias("header"), F.min("row_id").alias("first_id"))
-    found = found.select(
+        heads = landed.where(reduce(Column.__or__, [equals_anchor(F.col(c), anchor) for c in cells]))
+    heads = heads.groupBy("source_file").agg(F.min(row).alias("header"))
+    found = starts.join(heads, "source_file", "left").select(
         "source_file",
         F.col("header.row_id").alias("header_id"),
         F.col("header.names").alias("names"),

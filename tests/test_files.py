@@ -94,6 +94,14 @@ def test_cells_beyond_the_header_are_refused(spark, tmp_path, sheet_folder, widt
         opened.select("SNo").collect()
 
 
+def test_a_cell_equals_the_anchor_but_for_case_and_marks(spark):
+    cells = ["KP Type", " kp-type ", "(KP\n\nTYPE)", "KPTYPE", "kp type2", "type kp", "İkp_type", "kp", "", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = df.where(sheets.equals_anchor(F.col("c"), "KP Type")).collect()
+    assert [r.c for r in got] == cells[:3]
+    assert [r.c for r in df.where(sheets._plain(F.col("c")) == "kp_type").collect()] == cells[:3]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, None, "", "x\ny"), (None, 2.5, 'a "b", c', None), (3, 0.5, "NA?", "\r\n")], "i int, d double, s string, t string"
