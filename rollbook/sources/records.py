@@ -41,9 +41,19 @@ def _stitch(sep: str):
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        names = ("source_file", "split", "place", "kind", "text", "cells")
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
         here, held, inside, headless, place = None, [], False, False, 0
         whole, cut = [], []
 
+        def plain(lines, places):
+            """Records of lines without quote marks: Arrow cuts them."""
+            n = len(lines)
+            cells = pc.split_pattern(lines, sep).cast(pa.list_(pa.string()))
+            columns = [pa.repeat(here[0], n), pa.repeat(pa.scalar(here[1], pa.int64()), n), pa.array(places, pa.int64())]
+            columns += [pa.repeat("record", n), pa.nulls(n, pa.string()), cells]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         def flush():
             nonlocal whole, cut
             cells = _parse([text for _, _, text in whole], sep)
@@ -51,8 +61,6 @@ def _stitch(sep: str):
             rows += [(*where, at, kind, text, None) for where, at, kind, text in cut]
             whole, cut = [], []
             if rows:
-                names = ("source_file", "split", "place", "kind", "text", "cells")
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         def leave():
@@ -62,7 +70,9 @@ def _stitch(sep: str):
 
         for batch in batches:
             files, splits = batch.column("source_file"), batch.column("split")
-            marks = pc.count_substring(batch.column("value"), QUOTE).to_numpy(zero_copy_only=False)
+            values = batch.column("value")
+            marks = pc.count_substring(values, QUOTE).to_numpy(zero_copy_only=False)
+            easy = (marks == 0) & ~np.asarray(pc.match_substring_regex(values, "^(\ufeff|$)|\r"))
             n = batch.num_rows
             code = files.dictionary_encode().indices.to_numpy(), splits.to_numpy()
             edges = np.flatnonzero((np.diff(code[0]) != 0) | (np.diff(code[1]) != 0)) + 1
@@ -75,7 +85,16 @@ def _stitch(sep: str):
                     here, held, place = where, [], 0
                     inside = headless = bool(batch.column("inside")[a].as_py())
                 odd = (np.cumsum(marks[a:b]) + inside) % 2 == 1
-                for line, unclosed in zip(batch.column("value").slice(a, b - a).to_pylist(), odd.tolist()):
+                if not (held or headless or odd.any()):  # every line is a record
+                    places = np.arange(place, place + b - a)
+                    lines, some = values.slice(a, b - a), easy[a:b]
+                    yield plain(lines.filter(pa.array(some)), places[some])
+                    for at, line in zip(places[~some].tolist(), lines.filter(pa.array(~some)).to_pylist()):
+                        whole.append((here, at, line.removeprefix("\ufeff") if at == 0 and where[1] == 0 else line))
+                    place += b - a
+                    inside = False
+                    continue
+                for line, unclosed in zip(values.slice(a, b - a).to_pylist(), odd.tolist()):
                     if place == 0 and where[1] == 0 and not held:
                         line = line.removeprefix("﻿")
                     if unclosed:
@@ -157,5 +176,6 @@ def load_records(spark: SparkSession, out: str, sep: str = ",") -> DataFrame:
 
     joined = joined.mapInArrow(parse, "source_file string, split long, place long, cells array<string>")
     records = parts.where("kind = 'record'").select("source_file", "split", "place", "cells")
-    records = records.unionByName(joined).where(F.size("cells") > 0).join(starts, ["source_file", "split"])
+    # A row a range, whatever the range holds: the records stay where they are.
+    records = records.unionByName(joined).where(F.size("cells") > 0).join(F.broadcast(starts), ["source_file", "split"])
     return records.select("source_file", (F.col("before") + F.col("place")).alias("row_id"), "cells")

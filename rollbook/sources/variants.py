@@ -6,35 +6,25 @@ All files then open in one pass, whatever the order and the names of their colum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.headers import unique_by_position
+from rollbook.sources.sheets import equals_anchor
 from rollbook.sources.workspace import new_path
 
 
-def _plain(text: Column) -> Column:
-    """Header text for comparison: lower case, one underscore for all that is no letter or digit."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
-
-
-def _has(cells: Column, anchor: str) -> Column:
-    wanted = re.sub("[^a-z0-9]+", "_", anchor.lower()).strip("_")
-    return F.exists(cells, lambda c: _plain(c) == wanted)
-
-
 def find_headers(landed: DataFrame, anchor: str) -> DataFrame:
     """(source_file, header_id, header, above): the first row of each file that holds the anchor, and the rows above it.
 
-    One pass; the table has a row a file and is written down. A file without such a row fails.
+    Cells are read once, and only rows that hold the anchor are ordered; the table has a row a file and is written down.
+    A file without such a row fails.
     """
-    row = F.struct("row_id", "cells")
-    found = landed.groupBy("source_file").agg(
-        F.min(F.when(_has(F.col("cells"), anchor), row)).alias("header"), F.min("row_id").alias("first_id")
-    )
+    heads = landed.where(F.exists("cells", lambda c: equals_anchor(c, anchor)))
+    heads = heads.groupBy("source_file").agg(F.min(F.struct("row_id", "cells")).alias("header"))
+    found = landed.groupBy("source_file").agg(F.min("row_id").alias("first_id")).join(heads, "source_file", "left")
     found = found.select(
         "source_file",
         F.col("header.row_id").alias("header_id"),

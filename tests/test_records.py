@@ -67,6 +67,30 @@ def test_a_cell_longer_than_many_ranges(spark, tmp_path, small_ranges):
     assert [r.cells for r in sorted(got, key=lambda r: r.row_id)] == rows
 
 
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_plain_and_quoted_lines_side_by_side(spark, tmp_path, sep):
+    """Lines without quotes are cut by Arrow, the others by the CSV reader; order, empty lines and marks stay."""
+    lines = ["\ufeffa|b,c", "", ",", "x", '"q,|",1', "é,|z", "last,\r", "|", '"",']
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "a.csv").write_bytes("\n".join(lines).encode())
+    got = records.land_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), sep)
+    parsed = list(csv.reader([x.removeprefix("\ufeff").removesuffix("\r") for x in lines], delimiter=sep))
+    want = [(i, cells) for i, cells in enumerate(parsed) if cells]
+    assert sorted((r.row_id, r.cells) for r in got.collect()) == want
+
+
+def test_records_are_not_shuffled_to_find_their_place(spark, tmp_path):
+    write(str(tmp_path / "in"), "a.csv", [["a", "b"], ["c", "d"]], ["\n"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = records.land_records(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+        plan = got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_a_quote_left_open_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n"c,d\ne,f\n')
     with pytest.raises(Exception, match="never closed"):
